@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import langid, packing, pii, quality, secrets, substring, toxicity
+from edgeloom.llm import jaccard, langid, packing, pii, quality, secrets, substring, toxicity, vectors
 from edgeloom.llm.frames import table
 
 
@@ -24,6 +24,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -46,6 +50,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_substring_dedup, op5_packing, op6_quality, op7_secrets, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_vectors, op4_substring_dedup, op5_packing, op6_quality, op7_secrets, op8_jaccard, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
