@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, group: int = GROUP
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         out = pack_group(rows, length)
-        shifted = pa.compute.add(out.column("sequence_id"), pa.scalar(key[0].as_py() << 32, pa.int64()))
+        shifted = pc.add(out.column("sequence_id"), pa.scalar(key[0].as_py() << 32, pa.int64()))
         return out.set_column(5, "sequence_id", shifted)
 
     return dealt.groupBy("g").applyInArrow(run, PACKED)
