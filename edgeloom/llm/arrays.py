@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 1  # runs of ASCII letters, ASCII digits and non-ASCII characters, A-Z lower-cased
 SPACED = 2  # runs of anything but the six ASCII white-space characters
@@ -39,7 +40,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 24:
+        if n <= 1 << 22:
             _powers[kind] = have
     return have[:n]
 
@@ -100,8 +101,14 @@ class Batch:
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
     def word_hashes(self, kind: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return span_hashes(_BYTE_HASH[kind][self.data], starts, ends)
+        """A 64-bit hash of each word's bytes; some 500 kB of text at a time, so that the sums stay in cache."""
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + 500_000, "right")))
+            a, b = starts[at], ends[to - 1]
+            out[at:to] = span_hashes(_BYTE_HASH[kind][self.data[a:b]], starts[at:to] - a, ends[at:to] - a)
+            at = to
+        return out
 
     def code_points(self) -> tuple[np.ndarray, np.ndarray]:
         """(code points, offsets in code points)."""
@@ -144,7 +151,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
     """The batch in pieces of about most_bytes of text each; a text is never divided."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.maximum(1, pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    ends = np.cumsum(np.maximum(1, pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
     at, done = 0, 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, "right")))

@@ -35,7 +35,7 @@ from edgeloom.llm.frames import cut, map_texts
 WINDOW = 20
 KEY_BITS = 48
 #: Text bytes for each key range: what one merge task holds.
-RANGE_BYTES = 24_000_000
+RANGE_BYTES = 12_000_000
 #: Largest table of intervals that is broadcast; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 32_000_000
 _NULL_ID = -(1 << 63)
@@ -59,6 +59,19 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _three(at: np.ndarray) -> np.ndarray:
+    """Places within a slice in three bytes each; in four where the slice has more than 2**24 words."""
+    return at.astype(np.uint32) if len(at) and int(at.max()) >> 24 else np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).ravel()
+
+
+def _from_three(packed: np.ndarray) -> np.ndarray:
+    if packed.dtype == np.uint32:
+        return packed
+    wide = np.zeros((len(packed) // 3, 4), np.uint8)
+    wide[:, :3] = packed.reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _deltas(sorted_keys: np.ndarray) -> np.ndarray:
     d = np.diff(sorted_keys, prepend=np.uint64(0))
     return d if len(d) and int(d.max()) >> 32 else d.astype(np.uint32)
@@ -119,7 +132,7 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
                 cuts = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(KEY_BITS)) // np.uint64(ranges)) if ranges > 1 else np.zeros(0, np.int64)
                 for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])):
                     if b > a:
-                        rows.append((r, name, 1, _pack(_deltas(keys[a:b]), checks[a:b], at[a:b].astype(np.uint32), np.frombuffer(table, np.uint8))))
+                        rows.append((r, name, 1, _pack(_deltas(keys[a:b]), checks[a:b], _three(at[a:b]), np.frombuffer(table, np.uint8))))
                 name += 1
                 for k in range(0, len(rows), 64):
                     part = list(zip(*rows[k : k + 64]))
@@ -133,6 +146,7 @@ def _merge(runs: list[tuple[int, bytes]], history: list[bytes]) -> dict[int, np.
     keys, checks, ids, starts, slice_, refs = [], [], [], [], [], []
     for name, blob in runs:
         deltas, check, ref, table = _unpack(blob)
+        ref = _from_three(ref)
         step, counts = _unpack(zlib.decompress(table.tobytes()))
         begin = np.cumsum(counts) - counts
         doc = np.searchsorted(begin + counts, ref, "right")  # documents without words are passed over
