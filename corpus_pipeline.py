@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import packing, quality, secrets
+from edgeloom.llm import decontaminate, jaccard, packing, quality, secrets
 from edgeloom.llm.frames import table
 from edgeloom.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; every other stays as it is."""
-    labels = table(spark, sf_dir, "labels")
-    scores = quality.score(docs, quality.fit(docs, labels))
-    bad = scores.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8 or more) stays: the one with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages contaminate go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +34,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality", keep_quality), ("secrets", mask_secrets), ("packing", pack)]
+STAGES = [("quality", keep_quality), ("near_copies", keep_one_of_each), ("benchmark", drop_benchmark), ("secrets", mask_secrets), ("packing", pack)]
 #: Not expressible in SQL: the first stage is a trained model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each one's result is written to the shared folder before the next reads it."""
+    from edgeloom.llm.frames import cut
+
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

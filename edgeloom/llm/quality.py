@@ -14,6 +14,7 @@ to learn from every score is the share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, WORDS, Batch, grams, mix
+from edgeloom.llm.arrays import SPACED, WORDS, Batch, grams, mix, slices
 from edgeloom.llm.frames import bounded, id_crc, map_texts
 
 #: The model learns from this many labelled documents at the most (chosen by id hash).
@@ -188,6 +189,21 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return map_texts(documents.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
+def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose score is `threshold` or more; map-only."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = Batch.of_arrow(batch.column("text"))
+                good = batch.filter(pa.array(sent.value.scores(*features(found), found.n) >= threshold))
+                if good.num_rows:
+                    yield good
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> DataFrame:
     """Scores for every document, learnt only from those whose id's crc32 modulo `folds` isn't `fold`."""
     taught = labels.where(id_crc() % folds != fold)
