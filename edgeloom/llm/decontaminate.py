@@ -28,6 +28,8 @@ from edgeloom.llm.frames import cut
 WINDOW, SHINGLE = 13, 5
 #: Rows of a broadcast block: a window has at most WINDOW words.
 BLOCK_ROWS = 200_000
+#: Largest list of ids that is broadcast to the texts; beyond it the texts are shuffled to it.
+BROADCAST_BYTES = 32_000_000
 #: Contaminated from this share of hit words: one in SHARE.
 SHARE = 20
 
@@ -104,5 +106,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that aren't contaminated."""
-    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
+    few = bad.count() * 16 <= BROADCAST_BYTES
+    return documents.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

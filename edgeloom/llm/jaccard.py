@@ -221,6 +221,6 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, re
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, without those that link to an earlier one directly or through others."""
-    gone = join(documents, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(join(documents, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     few = gone.count() * 16 <= BROADCAST_BYTES
     return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

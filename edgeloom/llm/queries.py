@@ -16,8 +16,10 @@ def _joined(spans: str) -> Column:
 
 
 def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
