@@ -1,0 +1 @@
+"""Nothing here: the capabilities that this engine covers are all over bounded tables."""
