@@ -28,7 +28,7 @@ SAMPLE = 8000
 BITS = 16
 #: A language has at most so many names; more is an error, as the matrix is broadcast.
 LANGUAGES = 1000
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
 
 
 @dataclass
@@ -38,6 +38,10 @@ class Model:
     matrix: np.ndarray  # 2**BITS x languages, log-probabilities
 
 
+def has_letter(text: str) -> bool:
+    return bool(LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def _lower(points: np.ndarray) -> np.ndarray:
     p = points.copy()
     p[(p >= 65) & (p <= 90) | (p >= 192) & (p <= 222) & (p != 215)] += 32
@@ -105,7 +109,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             best = logs.argmax(axis=1)
             part = np.exp(logs - logs.max(axis=1, keepdims=True))
             for i in range(found.n):
-                if LETTER.search(found.text(i)):
+                if has_letter(found.text(i)):
                     named[i], score[i] = m.names[best[i]], part[i, best[i]] / part[i].sum()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(named, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

@@ -36,10 +36,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MOST_INFLATED = 64_000_000
 
 #: Encoded runs.  A percent run is the token around the escapes, as its plain characters belong to the value.
-PERCENT = re.compile(r"""[^\s"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s"'<>%]*)+""")
-UNICODE = re.compile(r"""[^\s"'<>\\]*(?:\\u[0-9A-Fa-f]{4}[^\s"'<>\\]*)+""")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-BASE64_TAIL = re.compile(r"(?<=[=:])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Look-behinds and possessive runs make a run that fails cost its length once.
+PERCENT = re.compile(r"""(?<![^\s"'<>%])[^\s"'<>%]*+(?:%[0-9A-Fa-f]{2}[^\s"'<>%]*+)+""")
+UNICODE = re.compile(r"""(?<![^\s"'<>\\])[^\s"'<>\\]*+(?:\\u[0-9A-Fa-f]{4}[^\s"'<>\\]*+)+""")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+BASE64_TAIL = re.compile(r"(?<=[=:])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 

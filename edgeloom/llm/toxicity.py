@@ -31,6 +31,8 @@ from edgeloom.llm.quality import sigmoid_fit
 #: The network learns from this many labelled documents at the most (chosen by id hash).
 SAMPLE = 5000
 WINDOW, STRIDE = 32, 24
+#: Steps of a training round on few windows; many windows are gone through twice.
+LEAST_STEPS = 60
 VOCABULARY = 4000
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 8, 8, 8, 13
 SIDES = ("f", "b")
@@ -266,7 +268,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int =
         hard = open_[np.argsort(-worst[open_], kind="stable")[: size // 3]]
         negative = np.concatenate([hard, rng.choice(open_, size - len(hard), replace=False)])
         chosen = np.concatenate([positive, negative])
-        _adam(m, words, g[chosen], np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]).astype(np.float32), rng, 2, 0.01 / (1 + k), memory)
+        _adam(m, words, g[chosen], np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]).astype(np.float32), rng, max(2, -(-LEAST_STEPS // -(-len(chosen) // 256))), 0.01 / (1 + k), memory)
     value = logits(m, words, g)
     top = np.full(batch.n, -np.inf)
     np.maximum.at(top, doc, value)
