@@ -35,6 +35,11 @@ def sql_pairs(name: str) -> str:
 
 
 def pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "user":  # consecutive over all events: by rank, as a window over all rows would be one task
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        ranked = index_edges(events.select(F.col("ts").alias("src"), F.col("event_id").alias("dst"), "user_id")).select("eid", "user_id")
+        after = ranked.select((F.col("eid") - 1).alias("eid"), F.col("user_id").alias("dst"))
+        return ranked.join(after, "eid").select(F.col("user_id").alias("src"), "dst").distinct()
     text = DERIVED[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
