@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.graph import Graph
+from edgeloom.operators import local
 from edgeloom.plans.lineage import cut
 
 
@@ -28,6 +29,9 @@ def scc(g: Graph, include_singletons: bool = True) -> DataFrame:
     its colour is a component.
     """
     loops = g.edges.where("src = dst").select(F.col("src").alias("v")).distinct()
+    if g.edges.count() <= local.EDGES:
+        solve = lambda _, x: {"v": x[0], "scc": x[0][local.strong(len(x[0]), x[1], x[2])]}
+        return _without_singletons(cut(local.in_one_task(g.nodes.select("v", F.lit(False).alias("mark")), g.edges, solve, "v long, scc long")), loops, include_singletons)
     nodes = cut(g.nodes.select("v"))
     edges = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
     parts = []
@@ -48,6 +52,10 @@ def scc(g: Graph, include_singletons: bool = True) -> DataFrame:
     out = parts[0] if parts else g.nodes.select("v", F.col("v").alias("scc"))
     for p in parts[1:]:
         out = out.unionByName(p)
+    return _without_singletons(out, loops, include_singletons)
+
+
+def _without_singletons(out: DataFrame, loops: DataFrame, include_singletons: bool) -> DataFrame:
     if include_singletons:
         return out
     big = out.groupBy("scc").count().where("count > 1").select("scc")

@@ -2,15 +2,18 @@
 
 Each round joins the nodes that changed (the frontier) with their out-edges, keeps the
 least distance for each target by a pre-aggregated minimum, and stops when nothing
-changes.  Lineage is cut by a checkpoint every round.
+changes.  Lineage is cut by a checkpoint every round.  Graphs of up to local.EDGES edges
+are solved in one task instead; results are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.graph import Graph
+from edgeloom.operators import local
 from edgeloom.plans.lineage import cut
 
 
@@ -39,12 +42,44 @@ def relax(dist: DataFrame, edges: DataFrame, keys: list[str], bound: float | Non
     return dist.drop("fresh"), settled
 
 
+def is_small(g: Graph) -> bool:
+    return g.edges.count() <= local.EDGES
+
+
+def _settled(g: Graph, mark: Column, keep_bound: float | None = None, by_source: bool = False) -> DataFrame | None:
+    """Least distances from the marked nodes, in one task; None if a negative cycle is reached."""
+    kind = dict(g.edges.dtypes)["w"]
+
+    def solve(starts: np.ndarray, arrays: local.Arrays) -> dict[str, np.ndarray]:
+        names, src, dst, w = arrays
+        out = []
+        for some in [[s] for s in starts.tolist()] if by_source else [starts]:
+            dist, known = np.zeros(len(names), w.dtype), np.zeros(len(names), bool)
+            known[some] = True
+            if not local.settle(len(names), src, dst, w, dist, known, keep_bound):
+                return {"source": np.array([-1]), "v": np.array([0]), "dist": np.array([0], w.dtype), "settled": np.array([False])}
+            at = np.flatnonzero(known)
+            out.append((np.full(len(at), names[some[0]] if len(some) else 0), names[at], dist[at]))
+        source, v, dist = (np.concatenate(x) for x in zip(*out)) if out else (names[:0], names[:0], w[:0])
+        return {"source": source, "v": v, "dist": dist, "settled": np.ones(len(v), bool)}
+
+    rows = cut(local.in_one_task(g.nodes.select("v", mark.alias("mark")), g.edges, solve, f"source long, v long, dist {kind}, settled boolean"))
+    if rows.where("not settled").take(1):
+        return None
+    return rows.select(*(["source"] if by_source else []), "v", "dist")
+
+
 def sssp(g: Graph, source: int, bound: float | None = None, target: int | None = None) -> DataFrame:
     """v and dist of what `source` reaches; bound: only distances up to it.
 
     Intermediate distances are bounded too, so with negative weights give a bound on reduced
     weights.  target: stop once it is closer than the bound.  A negative cycle is an error.
     """
+    if target is None and is_small(g):
+        found = _settled(g, F.col("v") == source, bound)
+        if found is None:
+            raise ValueError("the source reaches a negative cycle")
+        return found
     kind = g.edges.schema["w"].dataType
     start = g.nodes.where(F.col("v") == source).select("v", F.lit(0).cast(kind).alias("dist"))
     edges = _prepared(g.edges)
@@ -66,6 +101,8 @@ def shorter_path(g: Graph, source: int, target: int, bound: float) -> bool:
 
 def reachable(g: Graph, source: int) -> DataFrame:
     """v of every node that source reaches, itself included."""
+    if is_small(g):
+        return local.in_one_task(g.nodes.select("v", (F.col("v") == source).alias("mark")), g.edges, lambda starts, x: {"v": x[0][local.reach(len(x[0]), x[1], x[2], starts)]}, "v long")
     seen = cut(g.nodes.where(F.col("v") == source).select("v", F.lit(0).alias("round")))
     edges = g.edges.select("src", "dst").distinct().repartition("src").cache()
     i = 0
@@ -83,8 +120,11 @@ def bidirectional(g: Graph, source: int, target: int, bound: float) -> DataFrame
     For weights that aren't negative.  The sides expand in turn and a side's labels beyond
     the bound are dropped.
     """
-    sides = {}
+    sides, small = {}, is_small(g)
     for name, start, edges in (("df", source, g.edges), ("db", target, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))):
+        if small:
+            sides[name] = _settled(Graph(edges.withColumn("eid", F.lit(0)), g.nodes), F.col("v") == start, bound)
+            continue
         first = g.nodes.where(F.col("v") == start).select("v", F.lit(0).cast(g.edges.schema["w"].dataType).alias("dist"))
         sides[name], _ = relax(first, _prepared(edges), [], bound, True, None)
     met = sides["df"].withColumnRenamed("dist", "df").join(sides["db"].withColumnRenamed("dist", "db"), "v")
@@ -95,6 +135,12 @@ def bidirectional(g: Graph, source: int, target: int, bound: float) -> DataFrame
 def apsp(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     """source, v and dist of every reachable pair; sources (v): only from these."""
     kind = g.edges.schema["w"].dataType
+    if g.edges.count() * (sources or g.nodes).count() <= 50 * local.EDGES:
+        marked = g.nodes.select("v", F.lit(True).alias("mark")) if sources is None else g.nodes.select("v").join(sources.select("v", F.lit(True).alias("mark")).distinct(), "v", "left").na.fill(False)
+        found = _settled(Graph(g.edges, marked), F.col("mark"), by_source=True)
+        if found is None:
+            raise ValueError("there is a negative cycle")
+        return found
     start = (sources or g.nodes).select(F.col("v").alias("source"), "v", F.lit(0).cast(kind).alias("dist"))
     dist, settled = relax(start, _prepared(g.edges), ["source"], None, False, g.n() + 1)
     if not settled:
@@ -113,8 +159,12 @@ def apsp_summary(g: Graph) -> DataFrame:
 def potentials(g: Graph) -> DataFrame | None:
     """v and phi such that every reduced weight is 0 or more; None if a cycle is negative."""
     kind = g.edges.schema["w"].dataType
-    start = g.nodes.select("v", F.lit(0).cast(kind).alias("dist"))
-    dist, settled = relax(start, _prepared(g.edges), [], None, False, g.n())
+    if is_small(g):
+        dist = _settled(g, F.lit(True))
+        settled = dist is not None
+    else:
+        start = g.nodes.select("v", F.lit(0).cast(kind).alias("dist"))
+        dist, settled = relax(start, _prepared(g.edges), [], None, False, g.n())
     return dist.select("v", (-F.col("dist")).cast(kind).alias("phi")) if settled else None
 
 

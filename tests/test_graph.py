@@ -6,10 +6,17 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import prng, weights
 from edgeloom.graph import Graph, undirected
-from edgeloom.operators import cycle, sampling, structure, telemetry, traverse
+from edgeloom.operators import cycle, local, sampling, structure, telemetry, traverse
 from edgeloom.sources import edgelist, generators, specs
 from edgeloom.sources import telemetry as tables
 
+@pytest.fixture(params=["one task", "joins"])
+def path(request, monkeypatch):
+    """Both ways to solve a graph: in one task, and by iterated joins."""
+    if request.param == "joins":
+        monkeypatch.setattr(local, "EDGES", -1)
+
+
 PAIRS = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 1), (2, 3), (3, 0), (3, 1), (3, 4), (4, 0)]
 GOOD = [[-1, -1, -1, -1, -1, -1, 3, 1, 0, 3], [0] * 10, [1] * 10]
 BAD = [[-1, -1, -1, -1, -1, -1, 3, 1, 0, 2], [-1] * 10]
@@ -25,13 +32,13 @@ def golden(spark, w):
 
 
 @pytest.mark.parametrize("k", range(3))
-def test_golden_distances(spark, k):
+def test_golden_distances(spark, path, k):
     rows = traverse.apsp(golden(spark, GOOD[k])).collect()
     assert len(rows) == 25
     assert all(r["dist"] == DISTANCES[k][r["source"]][r["v"]] for r in rows)
 
 
-def test_zero_cycles_are_legal_and_negative_ones_found(spark):
+def test_zero_cycles_are_legal_and_negative_ones_found(spark, path):
     assert not traverse.has_negative_cycle(golden(spark, GOOD[0]))
     assert all(traverse.has_negative_cycle(golden(spark, w)) for w in BAD)
     g = golden(spark, GOOD[0])
@@ -40,7 +47,7 @@ def test_zero_cycles_are_legal_and_negative_ones_found(spark):
         traverse.sssp(golden(spark, BAD[1]), 0)
 
 
-def test_bounds_and_meeting(spark):
+def test_bounds_and_meeting(spark, path):
     g = golden(spark, GOOD[2])
     assert {r["v"]: r["dist"] for r in traverse.sssp(g, 0, bound=1).collect()} == {0: 0, 1: 1, 2: 1}
     assert traverse.bidirectional(g, 0, 3, 3).first()["dist"] == 2
@@ -69,7 +76,7 @@ def brute_scc(n, edges):
     return {v: min(u for u in range(n) if reach[u][v] and reach[v][u]) for v in range(n)}
 
 
-def test_components(spark):
+def test_components(spark, path):
     rng = random.Random(3)
     edges = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(20)})
     g = Graph.of(spark.createDataFrame(edges, "src long, dst long"), 14)
