@@ -115,8 +115,11 @@ def run_count(n_states: int, runs: int, override: int | None = None) -> int:
     return override or runs * n_states
 
 
-def coverage(spark: SparkSession, n: int = 8, low: int = -1, high: int = 1, steps: int = 16, runs: int = 1, repetitions: int = 1, seed: int = 1, total_runs: int | None = None) -> DataFrame:
-    """A row for each repetition and step setting s < steps: chains of n * s // 4 steps (uniform draws where that is 0)."""
+def coverage(spark: SparkSession, n: int = 8, low: int = -1, high: int = 1, steps: int = 16, runs: int = 1, repetitions: int = 1, seed: int = 1, total_runs: int | None = None, quit_early: bool = False) -> DataFrame:
+    """A row for each repetition and step setting s < steps: chains of n * s // 4 steps (uniform draws where that is 0).
+
+    quit_early: runs after the completing one don't count.
+    """
     import time
 
     valid = valid_states(spark, n, low, high).cache()
@@ -130,11 +133,13 @@ def coverage(spark: SparkSession, n: int = 8, low: int = -1, high: int = 1, step
             states = (final_states(spark, n, low, high, scaled, number, key) if scaled else uniform_states(spark, n, low, high, number, key)).cache()
             if states.join(valid, "enc", "left_anti").take(1):
                 raise AssertionError("a chain left the legal states")
-            freq = frequency_of_frequencies(states, valid).agg(F.array_sort(F.collect_list(F.struct("freq", "cnt"))).alias("count_of_frequencies"))
-            row = freq.join(F.broadcast(completion(states, count))).first()
-            if sum(f["freq"] * f["cnt"] for f in row["count_of_frequencies"]) != number:
+            done = completion(states, count).first()["completion_run"]
+            counted = number if done is None or not quit_early else done + 1
+            freq = frequency_of_frequencies(states.where(F.col("run") < counted), valid).agg(F.array_sort(F.collect_list(F.struct("freq", "cnt"))).alias("count_of_frequencies"))
+            row = freq.first()
+            if sum(f["freq"] * f["cnt"] for f in row["count_of_frequencies"]) != counted:
                 raise AssertionError("frequencies don't add up to the runs")
             states.unpersist()
-            one = spark.createDataFrame([(n, low, high, scaled, number, count, row["count_of_frequencies"], row["completion_run"], math.ceil(1000 * (time.monotonic() - began)))], "nodes long, min_weight int, max_weight int, steps long, runs long, num_valid_encodings long, count_of_frequencies array<struct<freq:long,cnt:long>>, completion_run long, runtime_ms long")
+            one = spark.createDataFrame([(n, low, high, scaled, number, count, row["count_of_frequencies"], done, math.ceil(1000 * (time.monotonic() - began)))], "nodes long, min_weight int, max_weight int, steps long, runs long, num_valid_encodings long, count_of_frequencies array<struct<freq:long,cnt:long>>, completion_run long, runtime_ms long")
             out = one if out is None else out.unionByName(one)
     return out

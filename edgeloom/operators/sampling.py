@@ -93,6 +93,16 @@ class Chain:
                     self.insertions += 1
         return done
 
+    def all_pairs(self) -> tuple[float | None, float, int]:
+        """Mean (None unless all pairs are reached), largest (0 at least) and number of the true distances, by the potentials."""
+        names = sorted({x for e in self.ends for x in e})
+        total, most, reached = 0.0, 0.0, 0
+        for s in names:
+            for x, d in self.labels_within(s, -1, math.inf).items():
+                true = d - self.phi.get(x, self.zero) + self.phi.get(s, self.zero)
+                total, most, reached = total + true, max(most, true), reached + 1
+        return (total / reached if reached == len(names) ** 2 else None), most, reached
+
     def labels_both(self, source: int, target: int, bound: float) -> tuple[float, float, dict[int, float], dict[int, float]] | None:
         """(df, db, forward and backward labels) with df + db = bound; None if a path is shorter than bound."""
         best = ({source: self.zero}, {target: self.zero})
@@ -203,6 +213,8 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
         total = sum(chain.w)
         negative = sum(w < 0 for w in chain.w)
         for t in range(1, math.ceil(m * rounds_per_edge) + 1):
+            if want == "apsp" and t % interval == 0:
+                trace.append((name, t // interval, *chain.all_pairs()))
             if want == "intervals" and t % interval == 0:
                 trace.append((name, t // interval, total / m, negative / m))
             i, w = proposals(name, t, m)
@@ -215,6 +227,8 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
                 trace.append((name, t, i, float(w), "search" if searched else "quick", chain.insertions if searched else 0, ok))
         if want == "trace":
             return pd.DataFrame(trace, columns=["chain", "step", "eid", "w_new", "kind", "insertions", "accepted"])
+        if want == "apsp":
+            return pd.DataFrame(trace, columns=["chain", "round", "mean", "max", "reached"])
         if want == "intervals":
             return pd.DataFrame(trace, columns=["chain", "round", "avg", "frac"])
         ends = list(zip(*chain.ends))
@@ -224,19 +238,25 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
 
 
 def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, want: str = "final", interval: int = 10_000) -> DataFrame:
-    """What the chains give: want 'final' (edges with both ends' potentials), 'trace' (every step) or 'intervals'."""
+    """What the chains give: want 'final' (edges with both ends' potentials), 'trace' (every step), 'intervals' or 'apsp'.
+
+    'intervals' gives the average weight and the share of negative edges every `interval`
+    steps, 'apsp' mean and largest distance (for the deciders that keep potentials).
+    """
     if low >= high:
         raise ValueError("the least weight must be below the largest")
     if rounds_per_edge <= 0:
         raise ValueError("rounds per edge must be positive")
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm}")
+    if want == "apsp" and algorithm == "bf":
+        raise ValueError("distances come from potentials, which 'bf' doesn't keep")
     if g.edges.count() > MOST_EDGES:
         raise ValueError(f"a chain holds its graph in one task, {MOST_EDGES} edges at the most")
     integral = dict(g.edges.dtypes)["w"] not in ("double", "float")
     copies = g.edges.withColumn("chain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chains - 1).cast("long"))))
     kernel = _kernel(algorithm, Proposals(seed, low, high, integral), rounds_per_edge, want, interval)
-    schema = {"trace": TRACE, "final": FINAL, "intervals": "chain long, round long, avg double, frac double"}[want]
+    schema = {"trace": TRACE, "final": FINAL, "intervals": "chain long, round long, avg double, frac double", "apsp": "chain long, round long, mean double, max double, reached long"}[want]
     return copies.groupBy("chain").applyInPandas(kernel, schema)
 
 
