@@ -1,7 +1,7 @@
 """Secret scan: patterns over every text and over whatever decodes out of it.
 
 A worklist starts with the text itself.  Each layer is scanned for secrets and for
-encoded runs - percent escapes, backslash-u escapes, base64 and, once binary, zlib, gzip
+encoded runs - percent escapes, Unicode escapes (\\u, \\U, \\x, &#; and full-width forms), base64 and, once binary, zlib, gzip
 or bare deflate streams - and what they decode to becomes a new layer, until nothing new
 appears.  A digest of every layer seen breaks cycles.  A secret in a decoded layer is
 reported at the span of the outermost encoded run in the original text.
@@ -38,10 +38,13 @@ MOST_INFLATED = 64_000_000
 #: Encoded runs.  A percent run is the token around the escapes, as its plain characters belong to the value.
 #: Look-behinds and possessive runs make a run that fails cost its length once.
 PERCENT = re.compile(r"""(?<![^\s"'<>%])[^\s"'<>%]*+(?:%[0-9A-Fa-f]{2}[^\s"'<>%]*+)+""")
-UNICODE = re.compile(r"""(?<![^\s"'<>\\])[^\s"'<>\\]*+(?:\\u[0-9A-Fa-f]{4}[^\s"'<>\\]*+)+""")
+_CODE = r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};|[！-～]"
+UNICODE = re.compile(rf"""(?<![^\s"'<>\\&！-～])[^\s"'<>\\&！-～]*+(?:(?:{_CODE})[^\s"'<>\\&！-～]*+)+""")
+ESCAPE = re.compile(_CODE)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 BASE64_TAIL = re.compile(r"(?<=[=:])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}(?![A-Za-z0-9+/=])")
+WIDE = re.compile("[\uFF01-\uFF5E]")
 PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -90,8 +93,16 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
+def _character(m: re.Match) -> str:
+    s = m[0]
+    if len(s) == 1:
+        return chr(ord(s) - 0xFEE0)  # full-width forms of ASCII
+    code = int(s.strip("\\&#;uUxX{}"), 16 if s[0] == "\\" or s[2] in "xX" else 10)
+    return chr(code) if code < 0x110000 else s
+
+
 def _escaped(run: str) -> str:
-    text = ESCAPE.sub(lambda m: chr(int(m[1], 16)), run)
+    text = ESCAPE.sub(_character, run)
     return PAIR.sub(lambda m: m[0].encode("utf-16", "surrogatepass").decode("utf-16"), text).encode("utf-8", "replace").decode("utf-8")
 
 
@@ -102,15 +113,15 @@ def unwrapped(text: str, most: int = MOST_INFLATED) -> list[tuple[str, int, int]
         for m in PERCENT.finditer(text):
             if (raw := _printable(unquote_to_bytes(m[0]))) is not None:
                 out.append((raw, *m.span()))
-    if "\\u" in text:
+    if "\\" in text or "&#" in text or WIDE.search(text):
         out += [(_escaped(m[0]), *m.span()) for m in UNICODE.finditer(text)]
     seen = set()
-    for pattern in (BASE64, BASE64_TAIL):
+    for pattern in (BASE64, BASE64_TAIL, BASE64_LINES):
         for m in pattern.finditer(text):
             if m.span() in seen or HEX.fullmatch(m[0]):
                 continue
             seen.add(m.span())
-            if (raw := _base64(m[0])) is None:
+            if (raw := _base64("".join(m[0].split()))) is None:
                 continue
             depth: set[bytes] = set()
             while raw is not None and (layer := _printable(raw)) is None and raw not in depth:  # compressed, perhaps many times
@@ -142,7 +153,7 @@ def encode(text: str, how: list[str]) -> str:
     """Wraps a text in the layers named, innermost first; for tests and for planting cases."""
     raw = text.encode()
     for x in how:
-        raw = {"url": lambda r: b"".join(b"%%%02X" % c for c in r), "unicode": lambda r: "".join(f"\\u{ord(c):04x}" for c in r.decode()).encode(), "base64": base64.b64encode, "zlib": zlib.compress, "gzip": lambda r: gzip.compress(r, mtime=0)}[x](raw)
+        raw = {"url": lambda r: b"".join(b"%%%02X" % c for c in r), "unicode": lambda r: "".join(f"\\u{ord(c):04x}" for c in r.decode()).encode(), "entity": lambda r: "".join(f"&#{ord(c)};" for c in r.decode()).encode(), "wide": lambda r: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in r.decode()).encode(), "base64": base64.b64encode, "zlib": zlib.compress, "gzip": lambda r: gzip.compress(r, mtime=0)}[x](raw)
     return raw.decode()
 
 
@@ -164,7 +175,7 @@ def _suspects(batch: Batch) -> np.ndarray:
     for a, b in zip(edges[long] + 1, edges[long + 1]):
         out[np.searchsorted(batch.offsets, a, "right") - 1 : np.searchsorted(batch.offsets, b - 1, "right")] = True
     low = _LOWER[data].tobytes()
-    for mark in (b"passw", b"secret", b"token", b"api_key", b"apikey", b"%", b"\\u"):
+    for mark in (b"passw", b"secret", b"token", b"api_key", b"apikey", b"%", b"\\", b"&#", b"\xef\xbc", b"\xef\xbd"):
         at = low.find(mark)
         while at >= 0:
             i = int(np.searchsorted(batch.offsets, at, "right")) - 1

@@ -85,7 +85,7 @@ def test_secret_base_is_the_plain_patterns():
         assert secrets.base_matches(t) == sorted(want, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
 
 
-@pytest.mark.parametrize("how", [["base64"], ["url"], ["unicode"], ["zlib", "base64"], ["gzip", "base64"], ["base64", "url"], ["base64", "base64", "unicode", "base64"], ["gzip", "base64", "zlib", "base64"]])
+@pytest.mark.parametrize("how", [["base64"], ["url"], ["unicode"], ["zlib", "base64"], ["gzip", "base64"], ["base64", "url"], ["base64", "base64", "unicode", "base64"], ["gzip", "base64", "zlib", "base64"], ["entity"], ["base64", "entity"], ["base64", "wide"]])
 def test_nested_layers_are_unwrapped(how):
     hidden = 'api_key = "abcd1234efgh5678"'
     wrapped = secrets.encode(hidden, how)
@@ -97,6 +97,15 @@ def test_nested_layers_are_unwrapped(how):
     assert secrets._suspects(Batch.of_strings([text])).all()
 
 
+def test_base64_over_lines():
+    import base64
+
+    hidden = base64.encodebytes(b"x " * 60 + b'password: "correct-horse"').decode().strip()
+    text = f"a\n{hidden}\nb"
+    assert ("assign", 2, 2 + len(hidden)) in secrets.scan(text)[1]
+    assert secrets.scan("\\u{1F600} \\U00000041 \\xff &#x41; &#9999999;")[0] == []
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, 'a token = "0123456789abcdef" b', 30, "k"), (2, None, None, "k"), (3, "plain", 5, None)]
     out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string"))
