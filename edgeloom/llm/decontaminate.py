@@ -3,8 +3,10 @@
 Every benchmark item gives its windows of WINDOW words (a shorter item is one window).
 A window's word shingles are put in order of rarity over the whole corpus, and only the
 rarest - the prefix that containment makes necessary - is joined with the documents'
-shingles.  A meeting fixes where the window would have to start; positional and length
-bounds drop it if it wouldn't fit, and the words themselves are compared for the rest.
+shingles.  One pass finds which benchmark shingles each document has; that gives the order of
+rarity and the documents that can hold a window at all.  Among these, a meeting of a
+prefix fixes where the window would have to start; positional and length bounds drop it
+if it wouldn't fit, and the words themselves are compared for the rest.
 
 Joined tables derive from the benchmark alone.  They are broadcast in blocks of a bounded
 number of rows, a pass over the documents for each block, so the size of what is broadcast
@@ -34,6 +36,7 @@ BROADCAST_BYTES = 32_000_000
 SHARE = 20
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,7 +47,7 @@ def words(text: Column) -> Column:
 
 def shingles(w: Column, k: int) -> Column:
     """Hashes of every k consecutive words; null where there are fewer."""
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.lit(k), F.slice(w, i, k))))
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)])))
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -56,9 +59,10 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _blocks(small: DataFrame, key: str) -> list[DataFrame]:
-    """The table in parts of about BLOCK_ROWS rows that can be broadcast."""
-    count = small.count()
-    parts = max(1, -(-count // BLOCK_ROWS))
+    """The table in parts of about BLOCK_ROWS rows or BROADCAST_BYTES bytes of words that can be broadcast."""
+    size = F.octet_length(F.array_join("win", " ")) if "win" in small.columns else F.lit(8)
+    count, taken = small.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-count // BLOCK_ROWS), -(-taken // BROADCAST_BYTES))
     if parts == 1:
         return [F.broadcast(small)]
     return [F.broadcast(small.where(F.pmod(F.xxhash64(F.lit(13), key), F.lit(parts)) == p)) for p in range(parts)]
@@ -77,18 +81,24 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW
         mine = wins.where(F.col("k") == k)
         spread = mine.select("item_id", "win", "n", F.posexplode(shingles(F.col("win"), k)).alias("off", "h"))
         texts = documents.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= k)
-        seen = texts.select(F.explode(shingles(F.col("w"), k)).alias("h"))
-        counts = cut(_union([seen.join(b, "h") for b in _blocks(spread.select("h").distinct(), "h")]).groupBy("h").agg(F.count("*").alias("often")))
+        seen = texts.select("doc_id", F.explode(shingles(F.col("w"), k)).alias("h"))
+        seen = cut(_union([seen.join(b, "h") for b in _blocks(spread.select("h").distinct(), "h")]).select("doc_id", "h"))
+        counts = seen.groupBy("h").agg(F.count("*").alias("often"))
         rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("h"), F.col("off"))).alias("r")
         prefix = spread.join(counts, "h", "left").groupBy("item_id", "win", "n").agg(rarest).where("r.often > 0")
         prefix = cut(prefix.select(F.col("r.h").alias("h"), F.col("r.off").alias("off"), "item_id", "win", "n"))
-        placed = texts.select("doc_id", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
+        met = cut(seen.select(F.col("doc_id").alias("_met")).distinct())  # no other document can hold a window
+        few = met.count() * 16 <= BROADCAST_BYTES
+        near = documents.select("doc_id", "text").join(F.broadcast(met) if few else met, F.col("doc_id").eqNullSafe(F.col("_met")), "left_semi")
+        near = near.select("doc_id", words(F.col("text")).alias("w"))
+        placed = near.select("doc_id", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
         start = F.col("pos") - F.col("off")
         fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
         same = F.when(fits, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win")).otherwise(F.lit(False))
         found += [placed.join(b, "h").where(same).select("doc_id", start.alias("start"), "n", "item_id") for b in _blocks(prefix, "h")]
     if not found:
-        return documents.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n")).crossJoin(benchmark.select("item_id").limit(0)).limit(0)
+        none = F.lit(None).cast(benchmark.schema["item_id"].dataType)
+        return documents.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), none.alias("item_id"))
     return _union(found)
 
 
@@ -98,7 +108,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     per = hits.groupBy("doc_id").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     per = per.select(F.col("doc_id").alias("_id"), "n_hit", "items")
-    counted = documents.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    counted = documents.select("doc_id", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAPS_ANY_CASE), "")).cast("long").alias("n_words"))
     out = counted.join(per, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
