@@ -67,11 +67,10 @@ class Words:
         starts, ends, doc = batch.words(WORDS)
         self.counts = np.bincount(doc, minlength=batch.n)
         hashes = batch.word_hashes(WORDS, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        self.hash, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(vocabulary, self.hash)
-        hit = at < len(vocabulary)
-        hit[hit] = vocabulary[at[hit]] == self.hash[hit]
-        self.word = np.where(hit, at, len(vocabulary))
+        self.hash, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.index = index.astype(np.int32)
+        del hashes, index, doc
+        self.name(vocabulary)
         s, e = starts[first], ends[first]
         letters = _BYTE_HASH[WORDS][batch.data[ragged(s, e - s)]]
         owner = np.repeat(np.arange(len(s)), e - s)
@@ -79,13 +78,19 @@ class Words:
         both = [(gram, owner[where])]
         lone = np.flatnonzero(e - s < 3)  # shorter words: the word itself
         both.append((self.hash[lone], lone))
-        self.gram = np.concatenate([(mix(g) >> np.uint64(64 - CHAR_BITS)).astype(np.int64) for g, _ in both])
-        self.owner = np.concatenate([o for _, o in both])
+        self.gram = np.concatenate([(mix(g) >> np.uint64(64 - CHAR_BITS)).astype(np.int32) for g, _ in both])
+        self.owner = np.concatenate([o.astype(np.int32) for _, o in both])
         order = np.argsort(self.owner, kind="stable")
         self.gram, self.owner = self.gram[order], self.owner[order]
         self.per = np.bincount(self.owner, minlength=len(self.hash))
         self.begin = np.cumsum(self.per) - self.per
 
+    def name(self, vocabulary: np.ndarray) -> None:
+        at = np.searchsorted(vocabulary, self.hash)
+        hit = at < len(vocabulary)
+        hit[hit] = vocabulary[at[hit]] == self.hash[hit]
+        self.word = np.where(hit, at, len(vocabulary))
+
     def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
         """One row for each distinct word, and a last row of zeros for the padding."""
         n = len(self.hash)
@@ -111,7 +116,7 @@ class Words:
         begin = np.cumsum(self.counts) - self.counts
         at = (begin[doc] + first)[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < length[:, None]
-        g = np.full(at.shape, len(self.hash), np.int64)
+        g = np.full(at.shape, len(self.hash), np.int32)
         g[inside] = self.index[at[inside]]
         return g
 
@@ -247,7 +252,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int =
     vocabulary = np.sort(words.hash[often])
     up, down = labels.sum() + 2, len(labels) - labels.sum() + 2
     ratio = np.where(seen >= 5, np.log((bad + 0.5) / up) - np.log((seen - bad + 0.5) / down), -1.0)
-    words = Words(batch, vocabulary)
+    words.name(vocabulary)
     doc, first, length = windows(words.counts)
     g = words.grid(doc, first, length)
     worst = np.concatenate([ratio, [-9.0]])[g].max(axis=1)  # naive Bayes: the window's most telling word
