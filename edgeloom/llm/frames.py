@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import slices
+from edgeloom.llm.arrays import release, slices
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             for piece in slices(batch, text, most_bytes):
                 if (out := fn(piece)) is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import WORDS, Batch, grams, mix, span_hashes
+from edgeloom.llm.arrays import WORDS, Batch, grams, mix, release, span_hashes
 from edgeloom.llm.components import components, forest
 from edgeloom.llm.frames import cut, map_texts
 
@@ -209,6 +209,8 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, re
         name = None
         if (done := flush()) is not None:
             yield done
+        group.clear()
+        release()
 
     verified = cut(tasks.mapInArrow(run, "key binary, links long, rep long, root long"))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))

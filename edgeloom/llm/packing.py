@@ -24,15 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, Batch, ragged, slices
+from edgeloom.llm.arrays import SPACED, Batch, ragged, release, slices
 
 LENGTH = 2048
 END_ID = 1
 #: Marks of the vocabulary's special tokens: a word that holds one isn't plain.
 SPECIAL = b"<|"
 GROUP = 4096
-#: Words whose ids a worker keeps at the most; then it starts anew.
-WORDS_KEPT = 600_000
+#: A worker keeps the ids of twice so many words at the most: those seen since the last change of
+#: generations, and those of the generation before, from which words that come back are taken over.
+WORDS_KEPT = 250_000
 
 
 @cache
@@ -85,7 +86,7 @@ class Encoder:
     """Token ids by word: this vocabulary never joins characters across white space, so each distinct word is encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.kept = _tokenizer(path), {}
+        self.tokenizer, self.kept, self.before = _tokenizer(path), {}, {}
         self.model = self.tokenizer.model
 
     def _learn(self, words: list[bytes]) -> None:
@@ -108,8 +109,13 @@ class Encoder:
             raw = batch.data.tobytes()
             words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             if len(self.kept) > WORDS_KEPT:
-                self.kept.clear()
-            self._learn([w for w in words if w not in self.kept])
+                self.kept, self.before = {}, self.kept
+            missing = [w for w in words if w not in self.kept]
+            if self.before:
+                known = [w for w in missing if w in self.before]
+                self.kept.update(zip(known, map(self.before.__getitem__, known)))
+                missing = [w for w in missing if w not in self.kept]
+            self._learn(missing)
             blobs = [self.kept[w] for w in words]
             sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
             table = np.frombuffer(b"".join(blobs), np.uint32)
@@ -168,7 +174,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, length: int = LENGTH) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = Encoder(tokenizer_path), 0
         for whole in batches:
-            for batch in slices(whole, "text", 6_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 ids, offsets = encoder.encode(Batch.of_arrow(batch.column("text")))
                 view, out = memoryview(ids.astype("<u4").tobytes()), []
                 for name, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
@@ -179,6 +185,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, length: int = LENGTH) -> D
                         out.append((name, s - a, len(part) // 4, zlib.crc32(part), b - a, salt))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        del encoder
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 

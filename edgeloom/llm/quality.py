@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, WORDS, Batch, grams, mix, slices
+from edgeloom.llm.arrays import SPACED, WORDS, Batch, grams, mix, release, slices
 from edgeloom.llm.frames import bounded, id_crc, map_texts
 
 #: The model learns from this many labelled documents at the most (chosen by id hash).
@@ -200,6 +200,7 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> Dat
                 good = batch.filter(pa.array(sent.value.scores(*features(found), found.n) >= threshold))
                 if good.num_rows:
                     yield good
+        release()
 
     return documents.mapInArrow(run, documents.schema)
 

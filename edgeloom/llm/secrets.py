@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from edgeloom.llm.arrays import Batch, slices
+from edgeloom.llm.arrays import Batch, release, slices
 from edgeloom.llm.frames import map_texts, span_digest
 
 KINDS = ("assign", "access", "hex")
@@ -228,6 +228,7 @@ def redact(documents: DataFrame, most: int = MOST_INFLATED) -> DataFrame:
                 columns = list(batch.columns)
                 columns[place] = pa.array(texts, batch.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        release()
 
     out = documents.mapInArrow(run, documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

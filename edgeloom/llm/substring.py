@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, Batch, mix, slices, span_hashes
+from edgeloom.llm.arrays import SPACED, Batch, mix, release, slices, span_hashes
 from edgeloom.llm.frames import cut, map_texts
 
 WINDOW = 20
@@ -137,6 +137,7 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
                 for k in range(0, len(rows), 64):
                     part = list(zip(*rows[k : k + 64]))
                     yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary())], ["r", "slice", "kind", "blob"])
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(run, "r long, slice long, kind int, blob binary")
 
