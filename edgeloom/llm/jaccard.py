@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -120,13 +121,13 @@ def shared(grams_: list[np.ndarray]) -> np.ndarray:
     column, owner = place[index[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.full((g, g), everywhere, np.float32)
+    out = np.full((g, g), everywhere, np.int64)
     width = max(256, 8_000_000 // g)
     for a in range(0, int(some.sum()), width):
         x, y = np.searchsorted(column, (a, a + width))
         part = np.zeros((g, min(width, int(some.sum()) - a)), np.float32)
         part[owner[x:y], column[x:y] - a] = 1
-        out += part @ part.T
+        out += (part @ part.T).astype(np.int64)  # exact: a part has at most `width` columns, under 2^24
     return out
 
 
@@ -135,7 +136,8 @@ def verify(members: list[dict], similarity: float) -> list[tuple[bytes, int, int
     band, (i, j) = members[0]["band"], members[0]["task"]
     sizes = np.array([len(m["set"]) for m in members]) // 8
     common = shared([np.frombuffer(m["set"], np.uint64) for m in members])
-    linked = common * (1 + similarity) >= similarity * (sizes[:, None] + sizes) - 1e-4
+    share = Fraction(str(similarity))  # in whole numbers: a tie is a link at any size
+    linked = share.denominator * common >= share.numerator * (sizes[:, None] + sizes - common)
     np.fill_diagonal(linked, False)
     hashes = np.array([m["bands"] for m in members])
     for b in range(band):  # met before, so verified there

@@ -120,6 +120,16 @@ def test_jaccard_blocks_and_repeats(spark, monkeypatch):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_links"]) for r in got) == want
 
 
+def test_ties_on_long_texts_are_links():
+    """Intersection 4m of sizes summing to 9m is exactly 0.8; one n-gram less isn't."""
+    for m in (250, 999, 1501, 400_001):
+        for less in (0, 1):
+            one = np.arange(5 * m, dtype=np.uint64)
+            two = one[m + less :]
+            members = [{"band": 0, "task": (0, 0), "set": x.tobytes(), "bands": [0], "size": 1, "rep": i, "key": bytes([i])} for i, x in enumerate((one, np.concatenate([two, np.arange(less, dtype=np.uint64) + np.uint64(10**9)])))]
+            assert len(jaccard.verify(members, 0.8)) == (0 if less else 2)
+
+
 def test_bands_reach_their_recall():
     assert jaccard.bands_for(0.8, 0.9999, 4) == 18
     assert 1 - (1 - 0.8**4) ** 18 >= 0.9999
