@@ -3,9 +3,13 @@
 Exact copies (same label, same vector) become one class first.  In each pass the classes
 of a label are put in lexicographic order of concatenated random hyperplane bits, and
 each is compared with the next WINDOW in that order; boundaries of sorted partitions are
-compared too.  The number of passes follows from the largest label's count, so that a pair
-at the threshold is missed with a chance of 1 - RECALL.  Verified pairs of all passes are
-united into components.
+compared too.  A run that agrees on a label's first bits and is longer than the window is
+compared in full instead, block against block in separate tasks.  So a pair is found in a pass if it
+agrees on those bits, however densely the label's vectors lie, and the passes follow
+from the bits alone: a pair at the threshold is missed with a chance of 1 - RECALL at most.
+The bits are chosen for each label by the cost that angles in a sample of it foretell;
+none at all (every pair compared, nothing missed) where that is cheapest.  The sample
+decides the cost, never the recall.
 
 Windows are bounded, groups of near copies aren't: each component is then compared in
 full, block against block in separate tasks that report counts only, so a vector's links
@@ -35,16 +39,34 @@ WINDOW = 128
 RECALL = 0.9999
 BITS = 60
 BLOCK = 1024
-
-
-def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes by which two vectors at this cosine come within a window of each other with probability `recall`.
-
-    They do in a pass if they agree on the first bits that leave about `window` of the rows.
-    """
-    bits = max(1.0, math.log2(max(2, rows) / window) + 1)
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return max(3, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+#: Vectors of a block of a long run; two are in a task.
+RUN_BLOCK = 4096
+#: Labels up to this size are compared in full without a sample; larger ones give about SAMPLE vectors.
+SMALL, SAMPLE = 4096, 1000
+#: What a vector's part in a pass costs, in comparisons.
+ROW_COST = 1000
+#: Largest list of long runs that is broadcast; beyond it the vectors are shuffled to it.
+BROADCAST_ROWS = 500_000
+
+
+def passes_for(bits: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Passes by which two vectors at this cosine agree on the first bits of one with probability `recall`."""
+    if not bits:
+        return 1
+    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - math.acos(cosine) / math.pi) ** bits)))
+
+
+def plan(sample: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, passes) of least cost for a label of `rows` vectors of which these unit ones are a sample."""
+    angles = np.arccos(np.clip((sample @ sample.T)[np.triu_indices(len(sample), 1)], -1, 1))
+    agree, met = 1 - angles / math.pi, np.ones(len(angles))
+    best = (math.inf, 0, 1)
+    for bits in range(BITS + 1):
+        passes = passes_for(bits, cosine, recall)
+        share = met.mean() if len(met) else 1.0
+        best = min(best, (passes * (rows * ROW_COST + rows * rows * share), bits, passes))
+        met = met * agree
+    return best[1:]
 
 
 def planes(dim: int, number: int, seed: int = 29) -> np.ndarray:
@@ -83,27 +105,60 @@ EDGES = "a long, b long"
 ENDS = "kind int, a long, b long, group string, part long, v array<float>"
 
 
-def _compared(classes: DataFrame, passes: int, cosine: float, window: int) -> DataFrame:
+def _full(x: np.ndarray, ids: np.ndarray, left: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of all pairs at the cosine or more; left: only those across that row, or 0 for all."""
+    names, roots = [], []
+    right = x[left:] if left else x
+    for at in range(0, left or len(x), 512):
+        i, j = np.nonzero(x[at : min(at + 512, left or len(x))] @ right.T >= cosine)
+        name, root = _star(ids, (i + at, j + left))
+        names.append(name)
+        roots.append(root)
+    return np.concatenate(names), np.concatenate(roots)
+
+
+def _planned(classes: DataFrame, cosine: float, recall: float) -> DataFrame:
+    """The classes with the bits and passes of their label."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("rows")).where(F.col("rows") > SMALL)
+    chance = F.lit(SAMPLE) / F.col("rows") * F.lit(1 << 31)
+    some = classes.join(F.broadcast(sizes), ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(11), "cid"), F.lit(1 << 31)) < chance)
+
+    def choose(rows: pa.Table) -> pa.Table:
+        bits, passes = plan(_unit(rows.column("v").to_pylist()), rows.column("rows")[0].as_py(), cosine, recall)
+        return pa.table({"label": rows.column("label")[:1], "dim": rows.column("dim")[:1], "bits": pa.array([bits], pa.int32()), "passes": pa.array([passes], pa.int32())})
+
+    plans = cut(some.select("label", "dim", "rows", "v").groupBy("label", "dim").applyInArrow(choose, "label string, dim int, bits int, passes int"))
+    planned = classes.select("cid", "label", "dim", "v").join(F.broadcast(plans), ["label", "dim"], "left")
+    return planned.select("cid", "label", "dim", "v", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("passes", F.lit(1)).alias("passes"))
+
+
+def _compared(classes: DataFrame, cosine: float, window: int, recall: float) -> DataFrame:
     """Edges (a, b) that connect what the passes found."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                v, dims = part.column("v").to_pylist(), part.column("dim").to_numpy()
+                v, dims, passes = part.column("v").to_pylist(), part.column("dim").to_numpy(), part.column("passes").to_numpy()
                 for dim in np.unique(dims):
-                    some = np.flatnonzero(dims == dim)
-                    x = _unit([v[i] for i in some])
-                    rows = part.take(pa.array(some))
-                    for p in range(passes):
+                    for p in range(passes[dims == dim].max()):
+                        some = np.flatnonzero((dims == dim) & (passes > p))
+                        x = _unit([v[i] for i in some])
+                        rows = part.take(pa.array(some))
                         bits = (x @ planes(int(dim), p).T > 0).astype(np.int64)
                         key = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                        run = key >> (BITS - rows.column("bits").to_numpy().astype(np.int64))
                         group = pa.array([f"{p}:{dim}:{y}" for y in rows.column("label").to_pylist()], pa.string())
-                        yield pa.RecordBatch.from_arrays([group, pa.array(key), rows.column("cid"), rows.column("v")], ["group", "key", "cid", "v"])
+                        yield pa.RecordBatch.from_arrays([group, pa.array(key), pa.array(run), rows.column("cid"), rows.column("v")], ["group", "key", "run", "cid", "v"])
 
     parts = max(8, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = classes.select("cid", "label", "dim", "v").mapInArrow(keyed, "group string, key long, cid long, v array<float>")
-    ordered = dealt.repartitionByRange(parts, "group", "key", "cid").sortWithinPartitions("group", "key", "cid")
+    dealt = cut(_planned(classes, cosine, recall)).mapInArrow(keyed, "group string, key long, run long, cid long, v array<float>")
+    long = cut(dealt.groupBy("group", "run").agg(F.count("*").alias("n")).where(F.col("n") > window))
+    few = long.count() <= BROADCAST_ROWS
+    long = long.select("group", "run", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks"))
+    long = F.broadcast(long) if few else long
+    short = dealt.join(long, ["group", "run"], "left_anti")  # ranges of whole runs, so that none is cut by small partitions
+    ordered = short.select("group", "run", "key", "cid", "v").repartitionByRange(parts, "group", "run").sortWithinPartitions("group", "key", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,7 +204,22 @@ def _compared(classes: DataFrame, passes: int, cosine: float, window: int) -> Da
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     boundary = found.where("kind = 0").groupBy("group", "part").applyInArrow(across, EDGES)
-    return found.where("kind = 1").select("a", "b").unionByName(boundary)
+
+    tasks = dealt.join(long, ["group", "run"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int"))
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.select("group", "run", "cid", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def whole(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        block, i, j = rows.column("block").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        left = 0 if i == j else int((block == i).sum())
+        if i != j and left in (0, len(block)):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = _full(_unit(rows.column("v").to_pylist()), rows.column("cid").to_numpy(), left, cosine)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    runs = tasks.groupBy("group", "run", "i", "j").applyInArrow(whole, EDGES)
+    return found.where("kind = 1").select("a", "b").unionByName(boundary).unionByName(runs)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -162,8 +232,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, window: int =
     classes = rows.where("sound").groupBy("key").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = cut(classes.withColumn("dim", F.size("v")))
     able = classes.where("cid is not null")
-    largest = able.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    reached = components(_compared(able, passes_for(largest, cosine, window, recall), cosine, window))
+    reached = components(_compared(able, cosine, window, recall))
 
     members = cut(able.select("cid", "size", "v").join(reached, F.col("cid") == F.col("node")))
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

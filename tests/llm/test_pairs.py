@@ -204,6 +204,36 @@ def test_vectors(spark, tmp_path):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_on_a_tight_cone(spark, monkeypatch):
+    """Background cosines near 0.95: every link of 3,000 is found, by full comparison and by passes with bits."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x = np.eye(64)[0] + 0.23 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[2700:] = x[:300] + 0.19 * (d := rng.normal(size=(300, 64))) / np.linalg.norm(d, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    want = {(i, int(n)) for i, n in enumerate(near.sum(axis=1))}
+    assert near.sum() > 300
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    assert {(r["vec_id"], r["n_links"]) for r in vectors.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(vectors, "SMALL", 100)
+    monkeypatch.setattr(vectors, "RUN_BLOCK", 500)
+    monkeypatch.setattr(vectors, "plan", lambda sample, rows, cosine, recall: (6, vectors.passes_for(6, cosine, recall)))
+    assert {(r["vec_id"], r["n_links"]) for r in vectors.near_duplicates(df).collect()} == want
+
+
+def test_plans_keep_their_recall():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 64))
+    for cone in (0, 5, 30):
+        y = x + cone * np.eye(64)[0]
+        bits, passes = vectors.plan(y / np.linalg.norm(y, axis=1, keepdims=True), 1_000_000)
+        assert (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** passes <= 1e-4 or bits == 0
+    assert vectors.plan(np.eye(3), 1000) == (0, 1)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7), (None, 3)]
