@@ -3,7 +3,7 @@
 A worklist starts with the text itself.  Each layer is scanned for secrets and for
 encoded runs - percent escapes, Unicode escapes (\\u, \\U, \\x, &#; and full-width forms), base64 and, once binary, zlib, gzip
 or bare deflate streams - and what they decode to becomes a new layer, until nothing new
-appears.  A digest of every layer seen breaks cycles.  A secret in a decoded layer is
+appears.  Bytes of any kind of run are inflated, and read as Latin-1 and UTF-16 where they aren't UTF-8.  A digest of every layer seen breaks cycles.  A secret in a decoded layer is
 reported at the span of the outermost encoded run in the original text.
 
 Defined results: a null text is an empty one; rows are scanned one by one, so ids may be
@@ -14,7 +14,6 @@ to MOST_INFLATED bytes (a bomb guard, an argument); a longer one is left as it i
 from __future__ import annotations
 
 import base64
-import binascii
 import gzip
 import hashlib
 import re
@@ -41,10 +40,12 @@ PERCENT = re.compile(r"""(?<![^\s"'<>%])[^\s"'<>%]*+(?:%[0-9A-Fa-f]{2}[^\s"'<>%]
 _CODE = r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};|[！-～]"
 UNICODE = re.compile(rf"""(?<![^\s"'<>\\&！-～])[^\s"'<>\\&！-～]*+(?:(?:{_CODE})[^\s"'<>\\&！-～]*+)+""")
 ESCAPE = re.compile(_CODE)
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
-BASE64_TAIL = re.compile(r"(?<=[=:])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}(?![A-Za-z0-9+/=])")
 WIDE = re.compile("[\uFF01-\uFF5E]")
+#: Where a gzip or zlib stream may begin inside of bytes.
+STREAM = re.compile(rb"\x1f\x8b\x08|[\x78\x68\x58\x48\x38\x28\x18\x08](?=[\x00-\xff])")
+UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -71,26 +72,86 @@ def _printable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    for bits in ((31,) if raw[:2] == b"\x1f\x8b" else (15,) if raw[:1] in (b"\x78", b"\x58", b"\x38") else ()) + (-15,):
+def _streams(raw: bytes, most: int) -> list[tuple[bytes, int, int]]:
+    """(inflated bytes, start, end) of the gzip and zlib streams wherever they begin, and of bare deflate at the start."""
+    out, view, at = [], memoryview(raw), 0
+    for bits, start in [(31 if m[0][0] == 0x1F else 15, m.start()) for m in STREAM.finditer(raw)] + [(-15, 0)]:
+        if start < at or bits == 15 and (raw[start] * 256 + raw[start + 1]) % 31:
+            continue
         try:
             stream = zlib.decompressobj(bits)
-            out = stream.decompress(raw, most)
-            if stream.eof and out and not stream.unconsumed_tail:
-                return out
+            got = stream.decompress(view[start:], most)
         except zlib.error:
-            pass
-    return None
+            continue
+        if stream.eof and got and not stream.unconsumed_tail:
+            out.append((got, start, len(raw) - len(stream.unused_data)))
+            at = out[-1][2]
+    return out
 
 
-def _base64(run: str) -> bytes | None:
+def _layers(raw: bytes, most: int) -> list[str]:
+    """The texts that bytes hold: UTF-8, else Latin-1 and UTF-16 (or UTF-32), and whatever inflates, to any depth."""
+    out, seen, work = [], set(), [raw]
+    while work:
+        raw = work.pop()
+        if raw in seen:
+            continue
+        seen.add(raw)
+        if (text := _printable(raw)) is not None:
+            out.append(text)
+            continue
+        out.append(raw.decode("latin-1"))
+        if b"\0" in raw:
+            out.append(raw.replace(b"\0", b"").decode("latin-1"))
+            out += [raw.decode(f"utf-16-{x}", "replace") for x in ("le", "be")]
+        work += [got for got, *_ in _streams(raw, most)]
+    return out
+
+
+def _base64(run: str) -> bytes:
+    """What a run decodes to; a last character that is alone adds nothing."""
     body = run.rstrip("=").translate({45: "+", 95: "/"})
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _blobs(run: str, most: int) -> list[tuple[list[str], int, int]]:
+    """(layers, start, end) of the blobs in one run of base64 characters.
+
+    A blob may begin after a '/' or '-', as in a path, and end before one: it is what decodes
+    to clean text or to a stream.  The rest is decoded from each of the four alignments.
+    """
+    body, out, covered = run.rstrip("="), [], 0
+
+    def rest(a: int, b: int) -> None:
+        end = len(run) if b == len(body) else b
+        if b - a >= 16:
+            out.extend((_layers(_base64(body[a + k : b]), most), a, end) for k in range(4))
+
+    for s in [0, *(i + 1 for i, c in enumerate(body) if c in "/-")]:
+        if s < covered or len(body) - s < 16:
+            continue
+        head = _base64(body[s : s + 16])
+        if not (head[:2] == b"\x1f\x8b" or head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0 or not UNCLEAN.search(head.decode("utf-8", "ignore")) and len(head.decode("utf-8", "ignore").encode()) > 8):
+            continue
+        raw = _base64(body[s:])
+        if streams := [x for x in _streams(raw, most) if not x[1]]:
+            layers, size = _layers(streams[0][0], most), streams[0][2]
+        else:
+            text = raw.decode("utf-8", "replace")
+            text = text[: m.start() if (m := UNCLEAN.search(text)) else len(text)]
+            layers, size = [text], len(text.encode())
+        end = min(len(body), s + -(-size * 4 // 3))
+        if end < len(body):
+            while end < len(body) and body[end] not in "/-":
+                end += 1
+        if size < 12:
+            continue
+        rest(covered, s)
+        out.append((layers if size == len(raw) else layers + _layers(raw[: (end - s) * 3 // 4], most), s, len(run) if end == len(body) else end))
+        covered = end
+    rest(covered, len(body))
+    return out
 
 
 def _character(m: re.Match) -> str:
@@ -111,24 +172,20 @@ def unwrapped(text: str, most: int = MOST_INFLATED) -> list[tuple[str, int, int]
     out = []
     if "%" in text:
         for m in PERCENT.finditer(text):
-            if (raw := _printable(unquote_to_bytes(m[0]))) is not None:
-                out.append((raw, *m.span()))
+            out += [(layer, *m.span()) for layer in _layers(unquote_to_bytes(m[0]), most)]
     if "\\" in text or "&#" in text or WIDE.search(text):
-        out += [(_escaped(m[0]), *m.span()) for m in UNICODE.finditer(text)]
-    seen = set()
-    for pattern in (BASE64, BASE64_TAIL, BASE64_LINES):
-        for m in pattern.finditer(text):
-            if m.span() in seen or HEX.fullmatch(m[0]):
-                continue
-            seen.add(m.span())
-            if (raw := _base64("".join(m[0].split()))) is None:
-                continue
-            depth: set[bytes] = set()
-            while raw is not None and (layer := _printable(raw)) is None and raw not in depth:  # compressed, perhaps many times
-                depth.add(raw)
-                raw = _inflated(raw, most)
-            if raw is not None and layer is not None:
-                out.append((layer, *m.span()))
+        for m in UNICODE.finditer(text):
+            out.append((layer := _escaped(m[0]), *m.span()))
+            if UNCLEAN.search(layer) or not layer.isascii():  # escapes of bytes
+                try:
+                    out += [(deeper, *m.span()) for deeper in _layers(layer.encode("latin-1"), most)]
+                except UnicodeEncodeError:
+                    pass
+    for m in BASE64.finditer(text):
+        if not HEX.fullmatch(m[0]):
+            out += [(layer, m.start() + a, m.start() + b) for layers, a, b in _blobs(m[0], most) for layer in layers]
+    for m in BASE64_LINES.finditer(text):
+        out += [(layer, *m.span()) for layer in _layers(_base64("".join(m[0].split())), most)]
     return out
 
 

@@ -97,6 +97,26 @@ def test_nested_layers_are_unwrapped(how):
     assert secrets._suspects(Batch.of_strings([text])).all()
 
 
+def test_bytes_of_every_run_are_unwrapped():
+    import base64
+    import gzip
+
+    hidden = b'note: api_key = "abcd1234efgh5678"?>~ and more'
+    wide = hidden.decode().encode("utf-16-le")
+    url = lambda raw: "".join(f"%{c:02X}" for c in raw)
+    slash = lambda raw: "".join(f"\\x{c:02x}" for c in raw)
+    blob = lambda raw: base64.b64encode(raw).decode()
+    packed = [zlib.compress(hidden), gzip.compress(hidden, mtime=0), zlib.compress(wide), gzip.compress(zlib.compress(hidden), mtime=0)]
+    for run in [url(p) for p in packed] + [slash(p) for p in packed] + [blob(wide), blob(b"caf\xe9 " + hidden), url(blob(packed[0]).encode())]:
+        assert ("assign", 2, 2 + len(run)) in secrets.scan(f"a {run} b")[1], run
+    for raw in (hidden, *packed):
+        for run in (blob(raw), base64.urlsafe_b64encode(raw).decode()):
+            for before in ("x.org/dl/", "x.org/a-b/", "x.org/abc/"):
+                text = f"{before}{run} b"
+                assert secrets.masked(text, secrets.scan(text)[1]) == f"{before}[SECRET] b", text
+            assert secrets.scan(f"x.org/dl/{run.rstrip('=')}/file.txt")[1], run
+
+
 def test_base64_over_lines():
     import base64
 
