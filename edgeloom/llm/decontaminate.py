@@ -1,36 +1,34 @@
 """Benchmark decontamination: a prefix-filtered set join, in DataFrame operations only.
 
-Every benchmark item gives its windows of WINDOW words (a shorter item is one window).
-A window's word shingles are put in order of rarity over the whole corpus, and only the
-rarest - the prefix that containment makes necessary - is joined with the documents'
-shingles.  One pass finds which benchmark shingles each document has; that gives the order of
-rarity and the documents that can hold a window at all.  Among these, a meeting of a
-prefix fixes where the window would have to start; positional and length bounds drop it
-if it wouldn't fit, and the words themselves are compared for the rest.
-
-Joined tables derive from the benchmark alone.  They are broadcast in blocks of a bounded
-number of rows, a pass over the documents for each block, so the size of what is broadcast
-doesn't depend on the size of either table.
+Every benchmark item gives its windows of WINDOW words (a shorter item is one window); equal
+windows of any items are one, and items are attached to what was found at the end.  A window's
+word shingles are put in order of rarity - by the least count of their words over the whole
+corpus, which bounds a shingle's own - and only the rarest, the prefix that containment
+makes necessary, is joined with the documents' shingles; a window with a word that the corpus
+doesn't have is out at once.  A meeting fixes where the window would have to start: positional
+and length bounds drop it if it wouldn't fit, and the words themselves are compared for the rest.
+
+Joined tables derive from the benchmark alone.  Up to BLOCK_ROWS rows they are broadcast; a
+larger benchmark's prefixes meet the documents' shingles in a shuffled join, whose candidates
+are then verified at the texts.
 
 Defined results: a null or wordless text has no words, no hits and isn't contaminated; a
 null or wordless item has no window; items that share an id count once, and an item
 without an id is left out of the list of items though its words are hits; rows that share
-a doc_id (or have none) pool their hits; other columns are ignored.
+a doc_id (or have none) are told apart by their texts, each judged by itself; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.frames import cut
+from edgeloom.llm.frames import cut, fresh_name, text_md5
 
 WINDOW, SHINGLE = 13, 5
-#: Rows of a broadcast block: a window has at most WINDOW words.
+#: Rows and bytes of words up to which a table of the benchmark is broadcast.
 BLOCK_ROWS = 200_000
-#: Largest list of ids that is broadcast to the texts; beyond it the texts are shuffled to it.
 BROADCAST_BYTES = 32_000_000
 #: Contaminated from this share of hit words: one in SHARE.
 SHARE = 20
@@ -45,77 +43,97 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _SMALL), _GAPS), "")
 
 
-def shingles(w: Column, k: int) -> Column:
-    """Hashes of every k consecutive words; null where there are fewer."""
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)])))
+def shingle(w: Column, at: Column, k: int) -> Column:
+    """The hash of the k words from place `at` on."""
+    return F.xxhash64(F.lit(k), *[F.get(w, at + j) for j in range(k)])
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, win (its words), n and k (the size of its shingles) of every window, repeated ones once an item."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+def windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(wid, win, n, k and sid of every distinct window: its words, their number, the size of its shingles, its set of items; sid and items)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
-    cutout = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).distinct()
-    return cutout.select("item_id", "win", F.size("win").alias("n"), F.least(F.lit(SHINGLE), F.size("win")).alias("k"))
-
-
-def _blocks(small: DataFrame, key: str) -> list[DataFrame]:
-    """The table in parts of about BLOCK_ROWS rows or BROADCAST_BYTES bytes of words that can be broadcast."""
-    size = F.octet_length(F.array_join("win", " ")) if "win" in small.columns else F.lit(8)
-    count, taken = small.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    parts = max(1, -(-count // BLOCK_ROWS), -(-taken // BROADCAST_BYTES))
-    if parts == 1:
-        return [F.broadcast(small)]
-    return [F.broadcast(small.where(F.pmod(F.xxhash64(F.lit(13), key), F.lit(parts)) == p)) for p in range(parts)]
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start (0-based word), n and item_id of every occurrence of an item's window in a document."""
-    wins = cut(windows(benchmark, window))
-    sizes = [r["k"] for r in wins.select("k").distinct().collect()]  # at most SHINGLE of them
-    found = []
+    every = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win"))
+    whole = every.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sid, wid = F.md5(F.to_json("items").cast("binary")), F.md5(F.array_join("win", " ").cast("binary"))
+    whole = cut(whole.select(wid.alias("wid"), "win", F.size("win").alias("n"), F.least(F.lit(SHINGLE), F.size("win")).alias("k"), sid.alias("sid"), "items"))
+    return whole.drop("items"), whole.groupBy("sid").agg(F.first("items").alias("items"))
+
+
+def _is_small(df: DataFrame, size: Column) -> bool:
+    count, taken = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return count <= BLOCK_ROWS and taken <= BROADCAST_BYTES
+
+
+def _prefixes(documents: DataFrame, wins: DataFrame) -> DataFrame:
+    """h, off, wid, win, n and k: the rarest shingle of every window whose words the corpus has."""
+    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
+    seen = documents.select(F.explode(words(F.col("text"))).alias("word"))
+    if _is_small(vocabulary, F.octet_length("word")):
+        seen = seen.join(F.broadcast(vocabulary), "word")
+    often = vocabulary.join(seen.groupBy("word").agg(F.count("*").alias("often")), "word", "left")
+    placed = wins.select("wid", F.posexplode("win").alias("at", "word")).join(often, "word")
+    counts = placed.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("c"))
+    counts = counts.select("wid", F.transform("c", lambda x: x["often"]).alias("c")).where(F.array_min("c") > 0)
+    rarest = F.array_min(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.struct(F.array_min(F.slice("c", i + 1, F.col("k"))).alias("often"), i.alias("off"))))
+    return wins.join(counts, "wid").select("wid", "win", "n", "k", rarest["off"].alias("off"))
+
+
+def occurrences(documents: DataFrame, wins: DataFrame) -> DataFrame:
+    """doc_id, text_md5, start (0-based word), n and sid of every occurrence of a window in a document."""
+    prefix = cut(_prefixes(documents, wins.drop("sid")))
+    sizes = [r["k"] for r in prefix.select("k").distinct().collect()]  # at most SHINGLE of them
+    found = None
     for k in sorted(sizes):
-        mine = wins.where(F.col("k") == k)
-        spread = mine.select("item_id", "win", "n", F.posexplode(shingles(F.col("win"), k)).alias("off", "h"))
-        texts = documents.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= k)
-        seen = texts.select("doc_id", F.explode(shingles(F.col("w"), k)).alias("h"))
-        seen = cut(_union([seen.join(b, "h") for b in _blocks(spread.select("h").distinct(), "h")]).select("doc_id", "h"))
-        counts = seen.groupBy("h").agg(F.count("*").alias("often"))
-        rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("h"), F.col("off"))).alias("r")
-        prefix = spread.join(counts, "h", "left").groupBy("item_id", "win", "n").agg(rarest).where("r.often > 0")
-        prefix = cut(prefix.select(F.col("r.h").alias("h"), F.col("r.off").alias("off"), "item_id", "win", "n"))
-        met = cut(seen.select(F.col("doc_id").alias("_met")).distinct())  # no other document can hold a window
-        few = met.count() * 16 <= BROADCAST_BYTES
-        near = documents.select("doc_id", "text").join(F.broadcast(met) if few else met, F.col("doc_id").eqNullSafe(F.col("_met")), "left_semi")
-        near = near.select("doc_id", words(F.col("text")).alias("w"))
-        placed = near.select("doc_id", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
+        mine = prefix.where(F.col("k") == k).select(shingle(F.col("win"), F.col("off"), k).alias("h"), "off", "wid", "win", "n")
+        texts = documents.select("doc_id", text_md5().alias("text_md5"), words(F.col("text")).alias("w")).where(F.size("w") >= k)
+        placed = texts.select("doc_id", "text_md5", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
         start = F.col("pos") - F.col("off")
         fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
-        same = F.when(fits, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win")).otherwise(F.lit(False))
-        found += [placed.join(b, "h").where(same).select("doc_id", start.alias("start"), "n", "item_id") for b in _blocks(prefix, "h")]
-    if not found:
-        none = F.lit(None).cast(benchmark.schema["item_id"].dataType)
-        return documents.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), none.alias("item_id"))
-    return _union(found)
+        if _is_small(mine, F.octet_length(F.array_join("win", " "))):
+            near = placed.withColumn("h", shingle(F.col("w"), F.col("pos"), k)).join(F.broadcast(mine), "h").where(fits)
+        else:
+            hashed = placed.select("doc_id", "text_md5", "pos", F.size("w").alias("size"), shingle(F.col("w"), F.col("pos"), k).alias("h"))
+            near = hashed.join(mine.drop("win"), "h").where((start >= 0) & (start + F.col("n") <= F.col("size")))
+            near = near.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "pos", "off", "wid").distinct().join(mine.select("wid", "win", "n"), "wid")
+            near = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")))
+        same = F.slice("w", start + 1, F.col("n")) == F.col("win")
+        part = near.where(same).select("doc_id", "text_md5", start.alias("start"), "n", "wid")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = documents.limit(0).select("doc_id", text_md5().alias("text_md5"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("wid"))
+    sids = wins.select("wid", "sid")
+    return found.distinct().join(F.broadcast(sids) if _is_small(sids, F.lit(64)) else sids, "wid").drop("wid")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_md5, n_hit and items (ids as sorted strings) of every text with an occurrence."""
+    wins, sets = windows(benchmark, window)
+    found = cut(occurrences(documents, wins))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
+    per = found.groupBy("doc_id", "text_md5").agg(covered.cast("long").alias("n_hit"))
+    listed = found.select("doc_id", "text_md5", "sid").distinct().join(sets, "sid").select("doc_id", "text_md5", F.explode("items").alias("item"))
+    listed = listed.groupBy("doc_id", "text_md5").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "items")
+    per = per.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left")
+    return per.select("doc_id", "text_md5", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids as sorted strings) and contaminated of every document row."""
-    hits = cut(occurrences(documents, benchmark, window).select("doc_id", "start", "n", F.col("item_id").cast("string").alias("item_id")).distinct())
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
-    per = hits.groupBy("doc_id").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    per = per.select(F.col("doc_id").alias("_id"), "n_hit", "items")
-    counted = documents.select("doc_id", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAPS_ANY_CASE), "")).cast("long").alias("n_words"))
-    out = counted.join(per, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    per = hits(documents, benchmark, window).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "n_hit", "items")
+    counted = documents.select("doc_id", text_md5().alias("text_md5"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAPS_ANY_CASE), "")).cast("long").alias("n_words"))
+    out = counted.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that aren't contaminated."""
-    bad = cut(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    few = bad.count() * 16 <= BROADCAST_BYTES
-    return documents.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The documents, all columns, that aren't contaminated; only texts with a hit are counted."""
+    id_, digest = fresh_name(documents, "_id"), fresh_name(documents, "_digest")
+    found = cut(hits(documents, benchmark, window).select(F.col("doc_id").alias(id_), F.col("text_md5").alias(digest), "n_hit"))
+    few = found.count() * 64 <= BROADCAST_BYTES
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_md5() == F.col(digest))
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAPS_ANY_CASE), ""))
+    suspects = documents.select("doc_id", "text").join(F.broadcast(found) if few else found, same)
+    bad = cut(suspects.where(share * F.col("n_hit") >= n_words).select(id_, digest).distinct())
+    return documents.join(F.broadcast(bad) if few else bad, same, "left_anti")
