@@ -1,8 +1,9 @@
 """Text as byte arrays: the vectorised primitives that the Arrow-batched operators share.
 
 A batch of texts is one UTF-8 buffer with document offsets.  Words, word hashes and
-n-gram hashes come from prefix sums over that buffer, so cost is a few passes over the
-bytes and no Python loop runs per word.
+n-gram hashes are computed for all of it at once, eight bytes or one joint at a time, so
+cost is a few passes over the bytes and a Python loop runs only for words of over LONG bytes.
+Hashes only find candidates: where a decision rests on equality, same_words() compares bytes.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,9 @@ import pyarrow.compute as pc
 WORDS = 1  # runs of ASCII letters, ASCII digits and non-ASCII characters, A-Z lower-cased
 SPACED = 2  # runs of anything but the six ASCII white-space characters
 
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _table(seed: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64) + np.uint64(seed << 32))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes than this are hashed one by one with a cryptographic hash.
+LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,19 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the largest n so far."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _MULT if kind == "up" else _MULT_INV
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 1 << 22:
-            _powers[kind] = have
-    return have[:n]
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
@@ -55,7 +40,9 @@ _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
 _IS_WORD[128:] = True
 _IS_SPACED = np.ones(256, bool)
 _IS_SPACED[[32, 9, 10, 11, 12, 13]] = False
-_BYTE_HASH = {WORDS: _table(1)[_LOWER], SPACED: _table(2)}
+_LETTER_HASH = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 32))[_LOWER]
+#: By the bytes that are left of a word: what to keep of eight bytes read.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _CLASS = {WORDS: _IS_WORD, SPACED: _IS_SPACED}
 
 
@@ -103,16 +90,62 @@ class Batch:
         starts, ends = at[0::2], at[1::2]
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
-    def word_hashes(self, kind: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; some 500 kB of text at a time, so that the sums stay in cache."""
-        out, at = np.empty(len(starts), np.uint64), 0
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + 500_000, "right")))
-            a, b = starts[at], ends[to - 1]
-            out[at:to] = span_hashes(_BYTE_HASH[kind][self.data[a:b]], starts[at:to] - a, ends[at:to] - a)
-            at = to
+    def _blocks(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes as words of this kind compare, the eight bytes that begin at each of them as one number)."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = _LOWER[self.data] if kind == WORDS else self.data
+        return padded, np.ndarray((len(self.data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+    def word_hashes(self, kind: int, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; seeds give independent ones.
+
+        Eight bytes at a time go through a mixer, so no sum or polynomial can cancel; a word
+        of more than LONG bytes gets a keyed cryptographic hash.
+        """
+        padded, eight = self._blocks(kind)
+        length = ends - starts
+        out = mix(length.astype(np.uint64) * _ODD + np.uint64(seed * 2 + 1))
+        todo, at = np.flatnonzero(length <= LONG), 0
+        while len(todo):
+            left = length[todo] - at
+            block = eight[starts[todo] + at] & _KEEP[np.minimum(left, 8)]
+            out[todo] = mix((out[todo] * _ODD) ^ block)
+            at += 8
+            todo = todo[left > 8]
+        for i in np.flatnonzero(length > LONG).tolist():
+            raw = padded[starts[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=b"%d" % seed).digest(), "little")
         return out
 
+    def same_words(self, kind: int, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether each word has the same bytes as word other[i]."""
+        padded, eight = self._blocks(kind)
+        length = ends - starts
+        out = length == length[other]
+        todo, at = np.flatnonzero(out & (length <= LONG) & (other != np.arange(len(other)))), 0
+        while len(todo):
+            left = length[todo] - at
+            keep = _KEEP[np.minimum(left, 8)]
+            out[todo] &= eight[starts[todo] + at] & keep == eight[starts[other[todo]] + at] & keep
+            at += 8
+            todo = todo[left > 8]
+        for i in np.flatnonzero(out & (length > LONG) & (other != np.arange(len(other)))).tolist():
+            j = other[i]
+            out[i] = padded[starts[i] : ends[i]].tobytes() == padded[starts[j] : ends[j]].tobytes()
+        return out
+
+    def distinct_words(self, kind: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word of each distinct one, the number of the distinct one of each word): by hash, then checked byte for byte."""
+        _, first, index = np.unique(self.word_hashes(kind, starts, ends), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~self.same_words(kind, starts, ends, first[index]))
+        if len(odd):  # words that share a hash with another
+            padded, more = self._blocks(kind)[0], {}
+            for i in odd.tolist():
+                raw = padded[starts[i] : ends[i]].tobytes()
+                index[i] = more.setdefault(raw, (len(first) + len(more), i))[0]
+            first = np.concatenate([first, [i for _, i in more.values()]])
+        return first, index
+
     def code_points(self) -> tuple[np.ndarray, np.ndarray]:
         """(code points, offsets in code points)."""
         lead = (self.data & 0xC0) != 0x80
@@ -124,12 +157,23 @@ class Batch:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans values[start:end]; equal spans have equal hashes wherever they lie."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power("up", n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two things one after the other, of theirs."""
+    return mix((a * _ODD) ^ b)
+
+
+def runs(item: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive items: halves are joined, quarters, ..., and each joint goes through the mixer."""
+    n, out, done, piece, size = len(item) - k + 1, None, 0, item, 1
+    while True:
+        if k & size:
+            part = piece[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += size
+        size *= 2
+        if size > k:
+            return out
+        piece = joined(piece[: -(size // 2)], piece[size // 2 :])
 
 
 def grams(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +182,7 @@ def grams(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :])
-    return span_hashes(word_hash, at, at + k), at
+    return runs(word_hash, k)[at], at
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -152,7 +196,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def release() -> None:
     """Gives memory back at a task's end: workers are used again by later stages, beside others."""
-    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it

@@ -28,6 +28,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_md5() -> F.Column:
+    """With an id, what tells rows apart that share it; null where the text is null."""
+    return F.md5(F.col("text").cast("binary"))
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most_bytes: int = 2_000_000) -> DataFrame:
     """Runs fn over bounded slices of the rows; map-only, so a lost task is simply run again."""
 

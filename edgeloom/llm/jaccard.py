@@ -1,16 +1,20 @@
 """N-gram Jaccard join: MinHash bands to meet, full n-gram sets to verify.
 
-A document's set holds its word 5-grams (words as in frames of ASCII letters, digits and
+A document's set holds its word 5-grams (words are runs of ASCII letters, digits and
 non-ASCII characters, A-Z lower-cased; a text of one to four words has its one sequence).
-Documents with equal sets are one class.  Band hashes of a class's MinHash signature deal
-it to buckets; buckets with the same members are compared once, and a pair is verified in
-the first bucket that holds it.  Large buckets are split into blocks whose pairs are
-separate tasks, and a task reports counts and a spanning forest, never its pairs.
+Documents with equal sets (by 128 bits from two independent hashes of every word) are one
+class.  Band hashes of a class's MinHash signature deal it to buckets; buckets with the same
+members are compared once, and a pair is verified in the first bucket that holds it.  Large
+buckets are split into blocks whose pairs are separate tasks, and a task reports counts and
+a spanning forest, never its pairs.
+
+Verifying tasks get the words themselves: words are told apart byte for byte and n-grams
+word for word, so no link rests on a hash.
 
 Defined results: a text without words (or null) has no set, links with nothing and is its
 own class; rows without an id count as members of their text's class, which takes part
-only if another row of it has an id; rows that repeat count as documents of their own;
-other columns are ignored.
+only if another row of it has an id; rows that repeat count as documents of their own, and
+rows that share an id but not a text are told apart; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import WORDS, Batch, grams, mix, release, span_hashes
+from edgeloom.llm.arrays import WORDS, Batch, grams, mix, release
 from edgeloom.llm.components import components, forest
-from edgeloom.llm.frames import cut, map_texts
+from edgeloom.llm.frames import cut, fresh_name, map_texts, quoted, text_md5
 
 GRAM, SIMILARITY = 5, 0.8
 #: Chance that a pair of exactly SIMILARITY meets in a bucket; higher for closer pairs.
@@ -43,29 +47,40 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def gram_sets(batch: Batch, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit n-grams, offsets by document): sorted, distinct sets."""
-    starts, ends, doc = batch.words(WORDS)
-    words = batch.word_hashes(WORDS, starts, ends)
-    gram, at = grams(words, doc, k)
-    owner = doc[at]
-    counts = np.bincount(doc, minlength=batch.n)
-    short = np.flatnonzero((counts > 0) & (counts < k))
-    if len(short):
-        begin = (np.cumsum(counts) - counts)[short]
-        gram = np.concatenate([gram, span_hashes(words, begin, begin + counts[short])])
-        owner = np.concatenate([owner, short])
+def _sequences(words: np.ndarray, doc: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every k-gram, and of the one sequence of each document of fewer words."""
+    counts = np.bincount(doc, minlength=n)
+    begin = np.cumsum(counts) - counts
+    parts = [grams(words, doc, k)]
+    for few in range(1, k):
+        if len(some := begin[counts == few]):
+            gram, at = grams(words, doc, few)
+            keep = np.isin(at, some)
+            parts.append((gram[keep], at[keep]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _distinct(gram: np.ndarray, owner: np.ndarray, n: int, *also: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sorted, distinct n-grams, offsets by document, and what goes along with each)."""
     order = np.lexsort((gram, owner))
     gram, owner = gram[order], owner[order]
     fresh = np.ones(len(gram), bool)
     fresh[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
     gram, owner = gram[fresh], owner[fresh]
-    return gram, np.searchsorted(owner, np.arange(batch.n + 1))
+    return gram, np.searchsorted(owner, np.arange(n + 1)), *(x[order][fresh] for x in also)
+
+
+def gram_sets(batch: Batch, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit n-grams, offsets by document, independent hashes of the same n-grams): sorted, distinct sets."""
+    starts, ends, doc = batch.words(WORDS)
+    gram, at = _sequences(batch.word_hashes(WORDS, starts, ends), doc, batch.n, k)
+    second, _ = _sequences(batch.word_hashes(WORDS, starts, ends, 1), doc, batch.n, k)
+    return _distinct(gram, doc[at], batch.n, second)
 
 
-def set_keys(gram: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
-    """128 bits that tell sets apart; None for an empty one."""
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(gram), mix(gram ^ np.uint64(0x5851F42D4C957F2D)))]
+def set_keys(gram: np.ndarray, offsets: np.ndarray, second: np.ndarray) -> list[bytes | None]:
+    """128 bits that tell sets apart, half of them from each hash; None for an empty one."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)]) for x in (gram, second)]
     one, two = (mix(s[offsets[1:]] - s[offsets[:-1]] + np.diff(offsets).astype(np.uint64)) for s in sums)
     return [struct.pack("<QQ", a, b) if n else None for a, b, n in zip(one.tolist(), two.tolist(), np.diff(offsets).tolist())]
 
@@ -87,26 +102,43 @@ def band_hashes(gram: np.ndarray, offsets: np.ndarray, bands: int, rows: int, se
 
 
 def signatures(documents: DataFrame, bands: int, rows: int, k: int = GRAM) -> DataFrame:
-    """doc_id, key, n and bands of every row."""
+    """doc_id, text_md5, key, n and bands of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gram, offsets = gram_sets(Batch.of_arrow(batch.column("text")), k)
+        gram, offsets, second = gram_sets(Batch.of_arrow(batch.column("text")), k)
         hashes = band_hashes(gram, offsets, bands, rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_keys(gram, offsets), pa.binary()), pa.array(np.diff(offsets), pa.int64()), lists], ["doc_id", "key", "n", "bands"])
+        columns = [batch.column("doc_id"), batch.column("text_md5"), pa.array(set_keys(gram, offsets, second), pa.binary()), pa.array(np.diff(offsets), pa.int64()), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_md5", "key", "n", "bands"])
 
-    return map_texts(documents.select("doc_id", "text"), run, "doc_id long, key binary, n long, bands array<long>")
+    rows_ = documents.select("doc_id", "text", text_md5().alias("text_md5"))
+    return map_texts(rows_, run, "doc_id long, text_md5 string, key binary, n long, bands array<long>")
 
 
-def sets(documents: DataFrame, k: int = GRAM) -> DataFrame:
-    """key and set (8 bytes an n-gram, sorted) of every row with words."""
+def plain_words(batch: Batch) -> list[bytes]:
+    """Each document's words, lower-cased and joined by one space."""
+    starts, ends, doc = batch.words(WORDS)
+    padded = batch._blocks(WORDS)[0].tobytes()
+    words = [padded[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    cuts = np.searchsorted(doc, np.arange(batch.n + 1)).tolist()
+    return [b" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gram, offsets = gram_sets(Batch.of_arrow(batch.column("text")), k)
-        blobs = [gram[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(set_keys(gram, offsets), pa.binary()), pa.array(blobs, pa.binary())], ["key", "set"])
 
-    return map_texts(documents.select("text"), run, "key binary, set binary").where("key is not null")
+def exact_sets(texts: list[str], k: int = GRAM) -> list[np.ndarray]:
+    """The texts' n-gram sets as sorted numbers that are equal exactly if the words are."""
+    batch = Batch.of_strings(texts)
+    starts, ends, doc = batch.words(WORDS)
+    _, word = batch.distinct_words(WORDS, starts, ends)
+    gram, at = _sequences(mix(word.astype(np.uint64)), doc, batch.n, k)
+    _, first, name = np.unique(gram, return_index=True, return_inverse=True)
+    counts = np.bincount(doc, minlength=batch.n)
+    last = np.cumsum(counts)[doc[at]] if len(at) else at
+    parts = np.stack([np.where(at + j < last, word[np.minimum(at + j, len(word) - 1)], -1) for j in range(k)], axis=1) if len(at) else np.zeros((0, k), np.int64)
+    if (parts != parts[at_first := first[name]]).any():  # two n-grams share a hash
+        del at_first
+        _, name = np.unique(parts, axis=0, return_inverse=True)
+    gram, offsets = _distinct(name.ravel().astype(np.uint64), doc[at], batch.n)
+    return [gram[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
 def shared(grams_: list[np.ndarray]) -> np.ndarray:
@@ -131,8 +163,8 @@ def shared(grams_: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(members: list[dict], similarity: float) -> list[tuple[bytes, int, int, int]]:
-    """(key, linked documents, own id, smallest linked id in the task) of the members with links in this task."""
+def verify(members: list[dict], similarity: float) -> list[tuple[bytes, int, bytes]]:
+    """(key, linked documents, smallest key that links reach in the task) of the members with links in this task."""
     band, (i, j) = members[0]["band"], members[0]["task"]
     sizes = np.array([len(m["set"]) for m in members]) // 8
     common = shared([np.frombuffer(m["set"], np.uint64) for m in members])
@@ -148,54 +180,65 @@ def verify(members: list[dict], similarity: float) -> list[tuple[bytes, int, int
     weight = np.array([m["size"] for m in members], np.int64)
     links = linked @ weight
     a, b = np.nonzero(linked)
-    reps = np.array([m["rep"] for m in members], np.int64)
-    order = np.argsort(reps, kind="stable")
-    place = np.empty(len(reps), np.int64)
-    place[order] = np.arange(len(reps))
-    root = forest(len(reps), place[a], place[b])
-    return [(members[m]["key"], int(links[m]), int(reps[m]), int(reps[order[root[place[m]]]])) for m in np.flatnonzero(links)]
+    keys = [m["key"] for m in members]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    root = forest(len(keys), place[a], place[b])
+    return [(keys[m], int(links[m]), keys[order[root[place[m]]]]) for m in np.flatnonzero(links)]
 
 
-def join(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, n_links, component_id and kept of every row.
+def _in_order(df: DataFrame, *names: str) -> DataFrame:
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *names).sortWithinPartitions(*names)
 
-    n_links counts the other rows at `similarity` or more, members of the own class
-    included; component_id is the smallest id reachable by links.
+
+def classes_of(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_md5 and key of every row; key, rep, size, links and component of every class).
+
+    rep is the smallest (doc_id, text_md5) of a class, and component that of what links reach.
     """
     bands = bands_for(similarity, recall, rows)
     signed = cut(signatures(documents, bands, rows, k))
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = classes.where("rep is not null").select("key", "rep", "size", "n", "bands", F.posexplode("bands").alias("band", "h"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_md5"))
+    classes = signed.where("key is not null").groupBy("key").agg(F.min(row).alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    dealt = classes.where("rep is not null").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_md5").alias("rep_md5"), "size", "n", "bands", F.posexplode("bands").alias("band", "h"))
     met = dealt.groupBy("band", "h").agg(F.count("*").alias("c"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit(5), "key")).alias("two")).where("c > 1")
     once = met.groupBy("one", "two", "c").agg(F.min(F.struct("band", "h", "grams")).alias("s")).select("s.*", "c")
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     members = cut(dealt.join(once.select("band", "h", blocks.alias("blocks")), ["band", "h"]))
 
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    few = ids.count() * 16 <= BROADCAST_BYTES
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    found = sets(texts, k).groupBy("key").agg(F.first("set").alias("set"))
+    reps = members.select(F.col("rep_id").alias("doc_id"), F.col("rep_md5").alias("text_md5"), "key").distinct()
+    few = reps.count() * 64 <= BROADCAST_BYTES
+    md5 = text_md5()
+    texts = documents.select("doc_id", "text", md5.alias("text_md5")).join(F.broadcast(reps) if few else reps, ["doc_id", "text_md5"]).select("key", "text")
+
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array([w.decode() for w in plain_words(Batch.of_arrow(batch.column("text")))], pa.string())], ["key", "words"])
+
+    found = map_texts(texts, plain, "key binary, words string").groupBy("key").agg(F.first("words").alias("words"))
     block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
     tasks = (
         members.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "size", "bands", "band", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "size", "bands", "band", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(found, "key")
     )
-    parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tasks = tasks.repartition(parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+    tasks = _in_order(tasks, "band", "h", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, name, out = [], None, []
-        names = ("key", "rep", "size", "bands", "band", "h", "block", "i", "j", "set")
+        names = ("key", "size", "bands", "band", "h", "block", "i", "j", "words")
 
         def flush():
             if len(group) > 1:
+                for m, s in zip(group, exact_sets([m["words"] for m in group], k)):
+                    m["set"] = s.tobytes()
                 out.extend(verify(group, similarity))
             if len(out) > 5000 or name is None and out:
                 columns = list(zip(*out))
                 out.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["key", "links", "rep", "root"])
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()))], ["key", "links", "root"])
             return None
 
         for batch in batches:
@@ -214,17 +257,50 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, re
         group.clear()
         release()
 
-    verified = cut(tasks.mapInArrow(run, "key binary, links long, rep long, root long"))
+    verified = cut(tasks.mapInArrow(run, "key binary, links long, root binary"))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    reached = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    about = classes.select("key", "rep", "size").join(links, "key", "left").join(reached, F.col("rep") == F.col("node"), "left")
-    about = about.select("key", F.col("rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    own = signed.select("doc_id", "key").join(about, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    reached = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    least = reached.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    reached = reached.join(least, "component").select(F.col("node").alias("key"), "least")
+    about = classes.select("key", "rep", "size").join(links, "key", "left").join(reached, "key", "left")
+    return signed.select("doc_id", "text_md5", "key"), about.select("key", "rep", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "rep").alias("component"))
+
+
+def join(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, n_links, component_id and kept of every row.
+
+    n_links counts the other rows at `similarity` or more, members of the own class
+    included; component_id is the smallest id reachable by links.
+    """
+    signed, classes = classes_of(documents, similarity, k, recall, rows)
+    about = classes.select("key", F.col("rep.doc_id").alias("class_id"), (F.col("size") - 1 + F.col("links")).alias("n_links"), F.col("component.doc_id").alias("component_id"))
+    own = signed.join(about, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns, without those that link to an earlier one directly or through others."""
-    gone = cut(join(documents, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    few = gone.count() * 16 <= BROADCAST_BYTES
-    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents, all columns, with one of each group that links connect.
+
+    That is the row of the smallest (doc_id, md5 of the text); rows are told apart by both,
+    so what shares an id with a removed text stays.  Rows without an id come after all others
+    and count as documents like them.  Of rows that agree in both one stays.
+    """
+    id_, digest, seen = (fresh_name(documents, c) for c in ("_id", "_digest", "_seen"))
+    # a row without an id gets a large one from its text, so that its class takes part
+    made = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+    md5 = text_md5()
+    signed, classes = classes_of(documents.select(made.alias("doc_id"), "text"), similarity)
+    alone = classes.where("size = 1 and links = 0").select("key")
+    grouped = signed.where("key is not null").join(alone, "key", "left_anti").groupBy("key", "doc_id", "text_md5").agg(F.count("*").alias("n"))
+    chosen = F.struct("doc_id", "text_md5").eqNullSafe(F.col("component"))
+    decided = cut(grouped.join(classes.select("key", "component"), "key").select("doc_id", "text_md5", "n", chosen.alias("chosen")).where("not chosen or n > 1"))
+    gone = decided.where("not chosen").select(F.col("doc_id").alias(id_), F.col("text_md5").alias(digest))
+    again = decided.where("chosen").select(F.col("doc_id").alias(id_), F.col("text_md5").alias(digest), F.lit(True).alias(seen))
+    few = decided.count() * 64 <= BROADCAST_BYTES
+    gone, again = (F.broadcast(gone), F.broadcast(again)) if few else (gone, again)
+    left = documents.withColumn(id_, made).withColumn(digest, md5).join(gone, [id_, digest], "left_anti").join(again, [id_, digest], "left")
+    once = left.where(F.col(seen).isNull()).select(*map(quoted, documents.columns))
+    if not decided.where("chosen").take(1):
+        return once
+    return once.unionByName(left.where(F.col(seen)).dropDuplicates([id_, digest]).select(*map(quoted, documents.columns)))
+

@@ -105,7 +105,7 @@ class Encoder:
         """(ids of all documents end to end, offsets of the documents); END_ID closes each."""
         starts, ends, doc = batch.words(SPACED)
         if len(starts):
-            _, first, index = np.unique(batch.word_hashes(SPACED, starts, ends), return_index=True, return_inverse=True)
+            first, index = batch.distinct_words(SPACED, starts, ends)
             raw = batch.data.tobytes()
             words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             if len(self.kept) > WORDS_KEPT:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, Batch, mix, release, slices, span_hashes
+from edgeloom.llm.arrays import SPACED, Batch, release, runs, slices
 from edgeloom.llm.frames import cut, map_texts
 
 WINDOW = 20
@@ -90,9 +90,8 @@ def fingerprints(batch: Batch, window: int = WINDOW) -> tuple[np.ndarray, np.nda
         z = np.zeros(0, np.uint64)
         return z, z.astype(np.uint32), np.zeros(0, np.int64), doc, counts
     at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
-    words = batch.word_hashes(SPACED, starts, ends)
-    keys = span_hashes(words, at, at + window) >> np.uint64(64 - KEY_BITS)
-    checks = (span_hashes(mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at, at + window) >> np.uint64(32)).astype(np.uint32)
+    keys, checks = (runs(batch.word_hashes(SPACED, starts, ends, seed), window)[at] for seed in (0, 1))
+    keys, checks = keys >> np.uint64(64 - KEY_BITS), (checks >> np.uint64(32)).astype(np.uint32)
     return keys, checks, at, doc, counts
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import _BYTE_HASH, WORDS, Batch, grams, mix, ragged
+from edgeloom.llm.arrays import _LETTER_HASH, WORDS, Batch, grams, mix, ragged
 from edgeloom.llm.frames import bounded, id_crc, map_texts
 from edgeloom.llm.quality import sigmoid_fit
 
@@ -72,7 +72,7 @@ class Words:
         del hashes, index, doc
         self.name(vocabulary)
         s, e = starts[first], ends[first]
-        letters = _BYTE_HASH[WORDS][batch.data[ragged(s, e - s)]]
+        letters = _LETTER_HASH[batch.data[ragged(s, e - s)]]
         owner = np.repeat(np.arange(len(s)), e - s)
         gram, where = grams(letters, owner, 3)
         both = [(gram, owner[where])]

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.llm import decontaminate, jaccard, substring, vectors
@@ -63,14 +64,17 @@ def brute_contamination(docs, items):
                 if tuple(w[i : i + n]) in wins and i + n <= len(w):
                     hit.update(range(i, i + n))
                     found |= wins[tuple(w[i : i + n])]
-        out.append((name, len(w), len(hit), len(found), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((name, len(w), len(hit), len(found - {None}), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
-def test_decontamination(spark, documents, corpus, empty):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_decontamination(spark, documents, corpus, empty, monkeypatch, rows):
+    """By broadcast tables, and by shuffled joins as for a large benchmark."""
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", rows)
     rng = random.Random(2)
     items = [(i, " ".join(corpus[j][1].split()[:n])) for i, (j, n) in enumerate([(4, 40), (9, 13), (14, 5), (20, 3), (9, 13)])]
-    items += [(10, "nowhere to be found at all in any of these many texts here today"), (11, ""), (12, None), (13, corpus[30][1].upper() + "!")]
+    items += [(None, corpus[6][1]), (1, corpus[4][1]), (10, "nowhere to be found at all in any of these many texts here today"), (11, ""), (12, None), (13, corpus[30][1].upper() + "!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r)[:3] + (r["n_items"], r["items"], r["contaminated"]) for r in decontaminate.contamination(documents, bench).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated").collect())
     want = sorted((n, w, h, c, i, bad) for n, w, h, c, i, bad in brute_contamination([r[:2] for r in corpus], items))
@@ -242,3 +246,59 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert forest(5, np.array([4, 3]), np.array([3, 1])).tolist() == [0, 1, 2, 1, 1]
+
+
+def thue_morse(n, letters="ab"):
+    """Two words of n letters that every polynomial hash modulo a power of two confuses."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    for n in (64, 128, 1024, 2048):
+        one, two = thue_morse(n)
+        batch = Batch.of_strings([one, two, one.upper()])
+        for kind, same in ((WORDS, 2), (SPACED, 3)):
+            starts, ends, _ = batch.words(kind)
+            assert len(set(batch.word_hashes(kind, starts, ends).tolist())) == same
+        tail = " ".join(f"t{i}" for i in range(19))
+        docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} x y z w"), (4, f"{two} x y z w")], "doc_id long, text string")
+        assert [r["n_removed"] for r in substring.deduplicate(docs).collect()] == [0] * 4
+        assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_hashes_that_meet_are_told_apart(monkeypatch):
+    """With a hash that says the same of all words of a length, words and n-grams still come out right."""
+    monkeypatch.setattr(Batch, "word_hashes", lambda self, kind, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    batch = Batch.of_strings(["aa bb Aa c bb", "cc aa"])
+    starts, ends, _ = batch.words(WORDS)
+    first, index = batch.distinct_words(WORDS, starts, ends)
+    raw = [batch.data[a:b].tobytes().lower() for a, b in zip(starts, ends)]
+    assert [raw[first[i]] for i in index] == raw and len(first) == len(set(raw))
+    monkeypatch.setattr(jaccard, "mix", lambda x: x * np.uint64(0))
+    texts = ["a b c d e f", "b c d e f g", "f e d c b a", "a b", "b a", "a b c d e f a b c d e"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    got = jaccard.exact_sets(texts)
+    for a, s in zip(got, sets):
+        assert len(a) == len(s)
+        assert [len(set(a.tolist()) & set(b.tolist())) for b in got] == [len(s & t) for t in sets]
+
+
+def test_one_of_each_group_stays(spark):
+    """Rows that repeat, share an id or have none, and columns with the operator's own names."""
+    rng = random.Random(12)
+    text = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(60)) for _ in range(6)]
+    near = text[0] + " tail"
+    rows = [(1, text[0]), (1, text[0]), (2, near), (2, text[1]), (5, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (None, None), (None, None), (7, ""), (7, ""), (8, text[4].upper()), (9, text[4])]
+    df = spark.createDataFrame([(a, t, i, "x", 3) for i, (a, t) in enumerate(rows)], "doc_id long, text string, _gone int, _id string, key int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None)
+    assert got == sorted([(1, text[0]), (2, text[1]), (5, text[2]), (7, ""), (7, ""), (8, text[4].upper())])
+    assert sorted((r["text"] or "") for r in kept.collect() if r["doc_id"] is None) == ["", "", text[3]]
+    items = spark.createDataFrame([(1, text[0])], "item_id long, text string")
+    rows = [(1, text[0]), (1, text[1]), (None, text[0]), (None, text[2]), (3, None), (4, text[3]), (4, text[3])]
+    df = spark.createDataFrame([(a, t, 1, "x") for a, t in rows], "doc_id long, text string, _bad int, _id string")
+    left = decontaminate.drop_contaminated(df, items)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted([(1, text[1]), (0, text[2]), (3, ""), (4, text[3]), (4, text[3])])
