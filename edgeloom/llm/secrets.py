@@ -1,14 +1,22 @@
 """Secret scan: patterns over every text and over whatever decodes out of it.
 
-A worklist starts with the text itself.  Each layer is scanned for secrets and for
-encoded runs - percent escapes, Unicode escapes (\\u, \\U, \\x, &#; and full-width forms), base64 and, once binary, zlib, gzip
-or bare deflate streams - and what they decode to becomes a new layer, until nothing new
-appears.  Bytes of any kind of run are inflated, and read as Latin-1 and UTF-16 where they aren't UTF-8.  A digest of every layer seen breaks cycles.  A secret in a decoded layer is
-reported at the span of the outermost encoded run in the original text.
+A worklist starts with the text itself.  Each layer is scanned for secrets and for encoded
+runs - percent escapes, Unicode escapes (\\u, \\U, \\x, &#; and full-width forms), base64 and,
+once binary, zlib, gzip or bare deflate streams - and what they decode to becomes a new layer,
+until nothing new appears.  Bytes of any kind of run are inflated, and read as Latin-1 and
+UTF-16 where they aren't UTF-8.  A digest of every layer seen breaks cycles.
+
+Every layer keeps, for each of its characters, the place in the original text that it comes
+from, so a secret is reported where its own characters are encoded; in a compressed stream
+that is the whole stream, as none of its characters has a place of its own.
+
+Streams are inflated piece by piece, PIECE bytes with OVERLAP of the piece before, so size
+alone keeps nothing from being scanned and memory stays bounded.  A document whose streams
+come to more than MOST_INFLATED bytes in all is a decompression bomb: what is left of it gets a span of
+the kind "bomb", which redaction masks like a secret.
 
 Defined results: a null text is an empty one; rows are scanned one by one, so ids may be
-null or repeated; other columns are ignored.  A compressed layer is inflated in full up
-to MOST_INFLATED bytes (a bomb guard, an argument); a longer one is left as it is.
+null or repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +27,8 @@ import hashlib
 import re
 import zlib
 from collections import deque
-from urllib.parse import unquote_to_bytes
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +38,11 @@ from edgeloom.llm.arrays import Batch, release, slices
 from edgeloom.llm.frames import map_texts, span_digest
 
 KINDS = ("assign", "access", "hex")
+ORDER = (*KINDS, "bomb")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a failing AKIA match is a whole run, so nothing longer starts within it
 HEX = re.compile(r"[0-9a-f]{32,}")
-MOST_INFLATED = 64_000_000
+PIECE, OVERLAP, MOST_INFLATED = 8_000_000, 100_000, 1 << 30
 
 #: Encoded runs.  A percent run is the token around the escapes, as its plain characters belong to the value.
 #: Look-behinds and possessive runs make a run that fails cost its length once.
@@ -40,13 +50,13 @@ PERCENT = re.compile(r"""(?<![^\s"'<>%])[^\s"'<>%]*+(?:%[0-9A-Fa-f]{2}[^\s"'<>%]
 _CODE = r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};|[！-～]"
 UNICODE = re.compile(rf"""(?<![^\s"'<>\\&！-～])[^\s"'<>\\&！-～]*+(?:(?:{_CODE})[^\s"'<>\\&！-～]*+)+""")
 ESCAPE = re.compile(_CODE)
+BYTE = re.compile("%[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}(?![A-Za-z0-9+/=])")
 WIDE = re.compile("[\uFF01-\uFF5E]")
 #: Where a gzip or zlib stream may begin inside of bytes.
 STREAM = re.compile(rb"\x1f\x8b\x08|[\x78\x68\x58\x48\x38\x28\x18\x08](?=[\x00-\xff])")
 UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
-PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -63,6 +73,43 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
+Places = np.ndarray | int  # for each item, or one for all of them
+
+
+@dataclass
+class Layer:
+    """A text and, for each character, the span [lo, hi) of the original text that it comes from."""
+
+    text: str
+    lo: Places
+    hi: Places
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (self.lo, self.hi) if isinstance(self.lo, int) else (int(self.lo[a]), int(self.hi[b - 1]))
+
+    def below(self, text: str, start: Places, end: Places) -> Layer:
+        """A layer whose characters come from [start, end) of this one's."""
+        if isinstance(self.lo, int):
+            return Layer(text, self.lo, self.hi)
+        if isinstance(start, int):
+            return Layer(text, *self.span(start, end))
+        return Layer(text, self.lo[start], self.hi[end - 1])
+
+
+class Bomb(Exception):
+    """The streams of a document come to more bytes than is allowed."""
+
+
+class Budget:
+    def __init__(self, most: int):
+        self.left = most
+
+    def spend(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Bomb
+
+
 def _printable(raw: bytes) -> str | None:
     try:
         text = raw.decode("utf-8")
@@ -72,40 +119,66 @@ def _printable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _streams(raw: bytes, most: int) -> list[tuple[bytes, int, int]]:
-    """(inflated bytes, start, end) of the gzip and zlib streams wherever they begin, and of bare deflate at the start."""
-    out, view, at = [], memoryview(raw), 0
+def _inflated(raw: bytes, start: int, bits: int, budget: Budget) -> tuple[list[bytes], int] | None:
+    """(what the stream holds, in pieces, and where it ends in raw); None if it isn't a whole one."""
+    pieces, stream, left, tail = [], zlib.decompressobj(bits), memoryview(raw)[start:], b""
+    try:
+        while not stream.eof:
+            got = stream.decompress(left, PIECE)
+            left = stream.unconsumed_tail
+            if not got:
+                break
+            budget.spend(len(got))
+            pieces.append(tail + got)
+            tail = pieces[-1][-OVERLAP:]
+    except zlib.error:
+        return None
+    return (pieces, len(raw) - len(stream.unused_data)) if stream.eof and pieces else None
+
+
+def _streams(raw: bytes, budget: Budget) -> list[tuple[list[bytes], int, int]]:
+    """(pieces, start, end) of the gzip and zlib streams wherever they begin, and of bare deflate at the start."""
+    out, at = [], 0
     for bits, start in [(31 if m[0][0] == 0x1F else 15, m.start()) for m in STREAM.finditer(raw)] + [(-15, 0)]:
         if start < at or bits == 15 and (raw[start] * 256 + raw[start + 1]) % 31:
             continue
-        try:
-            stream = zlib.decompressobj(bits)
-            got = stream.decompress(view[start:], most)
-        except zlib.error:
-            continue
-        if stream.eof and got and not stream.unconsumed_tail:
-            out.append((got, start, len(raw) - len(stream.unused_data)))
-            at = out[-1][2]
+        if (got := _inflated(raw, start, bits, budget)) is not None:
+            out.append((got[0], start, got[1]))
+            at = got[1]
     return out
 
 
-def _layers(raw: bytes, most: int) -> list[str]:
-    """The texts that bytes hold: UTF-8, else Latin-1 and UTF-16 (or UTF-32), and whatever inflates, to any depth."""
-    out, seen, work = [], set(), [raw]
-    while work:
-        raw = work.pop()
-        if raw in seen:
-            continue
-        seen.add(raw)
-        if (text := _printable(raw)) is not None:
-            out.append(text)
-            continue
-        out.append(raw.decode("latin-1"))
-        if b"\0" in raw:
-            out.append(raw.replace(b"\0", b"").decode("latin-1"))
-            out += [raw.decode(f"utf-16-{x}", "replace") for x in ("le", "be")]
-        work += [got for got, *_ in _streams(raw, most)]
-    return out
+def _cut(places: Places, at: np.ndarray | slice) -> Places:
+    return places if isinstance(places, int) else places[at]
+
+
+def _texts(raw: bytes, start: Places, end: Places, budget: Budget, seen: set[bytes] | None = None) -> Iterator[tuple[str, Places, Places]]:
+    """(text, start, end) of all that bytes hold: UTF-8, else Latin-1 and UTF-16, and whatever inflates, to any depth.
+
+    start and end are where each byte comes from, and where each character does.
+    """
+    seen = set() if seen is None else seen
+    mark = hashlib.blake2b(raw, digest_size=16).digest()
+    if mark in seen or not raw:
+        return
+    seen.add(mark)
+    if (text := _printable(raw)) is not None:
+        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        yield text, _cut(start, lead), _cut(end, np.append(lead[1:], len(raw)) - 1)
+        return
+    yield raw.decode("latin-1"), start, end
+    if b"\0" in raw:
+        full = np.flatnonzero(np.frombuffer(raw, np.uint8))
+        yield raw.replace(b"\0", b"").decode("latin-1"), _cut(start, full), _cut(end, full)
+        for order in ("le", "be"):
+            text = raw.decode(f"utf-16-{order}", "replace")
+            wide = np.fromiter((2 + 2 * (c > "\uffff") for c in text), np.int64, len(text))
+            first = np.cumsum(wide) - wide
+            yield text, _cut(start, np.minimum(first, len(raw) - 1)), _cut(end, np.minimum(first + wide, len(raw)) - 1)
+    for pieces, a, b in _streams(raw, budget):
+        whole = (start, end) if isinstance(start, int) else (int(start[a]), int(end[b - 1]))
+        for piece in pieces:
+            yield from _texts(piece, *whole, budget, seen)
 
 
 def _base64(run: str) -> bytes:
@@ -115,18 +188,32 @@ def _base64(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _blobs(run: str, most: int) -> list[tuple[list[str], int, int]]:
-    """(layers, start, end) of the blobs in one run of base64 characters.
+def _sixes(raw: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each byte comes from if the base64 characters are at these places."""
+    byte = np.arange(len(raw))
+    return places[byte * 8 // 6], places[(byte * 8 + 7) // 6] + 1
+
+
+def _blobs(run: str, at: int, budget: Budget) -> Iterator[tuple[str, Places, Places]]:
+    """(text, start, end) of the blobs in one run of base64 characters, which begins at `at`.
 
     A blob may begin after a '/' or '-', as in a path, and end before one: it is what decodes
     to clean text or to a stream.  The rest is decoded from each of the four alignments.
     """
-    body, out, covered = run.rstrip("="), [], 0
+    body, covered = run.rstrip("="), 0
 
-    def rest(a: int, b: int) -> None:
-        end = len(run) if b == len(body) else b
+    def decoded(a: int, b: int, size: int | None = None) -> Iterator[tuple[str, Places, Places]]:
+        whole = _base64(body[a:b])
+        raw = whole[:size]
+        start, end = _sixes(raw, at + np.arange(a, b))
+        if len(raw) == len(whole) and b == len(body):
+            end[-1:] = at + len(run)  # the padding goes with the last byte
+        yield from _texts(raw, start, end, budget)
+
+    def rest(a: int, b: int) -> Iterator[tuple[str, Places, Places]]:
         if b - a >= 16:
-            out.extend((_layers(_base64(body[a + k : b]), most), a, end) for k in range(4))
+            for k in range(4):
+                yield from decoded(a + k, b)
 
     for s in [0, *(i + 1 for i, c in enumerate(body) if c in "/-")]:
         if s < covered or len(body) - s < 16:
@@ -135,23 +222,27 @@ def _blobs(run: str, most: int) -> list[tuple[list[str], int, int]]:
         if not (head[:2] == b"\x1f\x8b" or head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0 or not UNCLEAN.search(head.decode("utf-8", "ignore")) and len(head.decode("utf-8", "ignore").encode()) > 8):
             continue
         raw = _base64(body[s:])
-        if streams := [x for x in _streams(raw, most) if not x[1]]:
-            layers, size = _layers(streams[0][0], most), streams[0][2]
+        stream = None
+        if head[:2] == b"\x1f\x8b" or head[0] & 15 == 8:
+            stream = _inflated(raw, 0, 31 if head[0] == 0x1F else 15, budget)
+        if stream:
+            size = stream[1]
         else:
             text = raw.decode("utf-8", "replace")
             text = text[: m.start() if (m := UNCLEAN.search(text)) else len(text)]
-            layers, size = [text], len(text.encode())
+            size = len(text.encode())
         end = min(len(body), s + -(-size * 4 // 3))
         if end < len(body):
             while end < len(body) and body[end] not in "/-":
                 end += 1
         if size < 12:
             continue
-        rest(covered, s)
-        out.append((layers if size == len(raw) else layers + _layers(raw[: (end - s) * 3 // 4], most), s, len(run) if end == len(body) else end))
+        yield from rest(covered, s)
+        yield from decoded(s, len(body), size)
+        if size < len(raw):
+            yield from decoded(s, end)
         covered = end
-    rest(covered, len(body))
-    return out
+    yield from rest(covered, len(body))
 
 
 def _character(m: re.Match) -> str:
@@ -162,48 +253,96 @@ def _character(m: re.Match) -> str:
     return chr(code) if code < 0x110000 else s
 
 
-def _escaped(run: str) -> str:
-    text = ESCAPE.sub(_character, run)
-    return PAIR.sub(lambda m: m[0].encode("utf-16", "surrogatepass").decode("utf-16"), text).encode("utf-8", "replace").decode("utf-8")
+def _pieces(run: str, at: int, code: re.Pattern) -> Iterator[tuple[str, int, re.Match | None]]:
+    """The plain parts of a run, with their places, and the escapes between them."""
+    done = 0
+    for m in code.finditer(run):
+        if m.start() > done:
+            yield run[done : m.start()], at + done, None
+        yield m[0], at + m.start(), m
+        done = m.end()
+    if done < len(run):
+        yield run[done:], at + done, None
+
+
+def _escaped(run: str, at: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """A run with its Unicode escapes replaced, halves of a pair joined; and where each character comes from."""
+    text, start, end = [], [], []
+    for part, place, m in _pieces(run, at, ESCAPE):
+        made = part if m is None else _character(m)
+        for i, c in enumerate(made):
+            a, b = (place, place + len(part)) if m is not None else (place + i, place + i + 1)
+            if text and "\udc00" <= c <= "\udfff" and "\ud800" <= text[-1] <= "\udbff":
+                text[-1], end[-1] = (text[-1] + c).encode("utf-16", "surrogatepass").decode("utf-16"), b
+            else:
+                text.append(c)
+                start.append(a)
+                end.append(b)
+    plain = ["?" if "\ud800" <= c <= "\udfff" else c for c in text]
+    return "".join(plain), np.array(start, np.int64), np.array(end, np.int64)
+
+
+def _percent(run: str, at: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of a run with percent escapes, and where each comes from."""
+    raw, start, end = [], [], []
+    for part, place, m in _pieces(run, at, BYTE):
+        if m is not None:
+            raw.append(bytes([int(part[1:], 16)]))
+            start.append([place])
+            end.append([place + 3])
+        else:
+            raw.append(part.encode("utf-8", "replace"))
+            wide = np.arange(len(part)) if part.isascii() else np.repeat(np.arange(len(part)), [len(c.encode("utf-8", "replace")) for c in part])
+            start.append(place + wide)
+            end.append(place + wide + 1)
+    return b"".join(raw), np.concatenate(start).astype(np.int64), np.concatenate(end).astype(np.int64)
 
 
-def unwrapped(text: str, most: int = MOST_INFLATED) -> list[tuple[str, int, int]]:
-    """(decoded layer, start, end) of the encoded runs of one text, one level down."""
-    out = []
+def unwrapped(text: str, budget: Budget) -> Iterator[tuple[str, Places, Places]]:
+    """(decoded text, start, end) of the encoded runs of one text, one level down; where each character comes from."""
     if "%" in text:
         for m in PERCENT.finditer(text):
-            out += [(layer, *m.span()) for layer in _layers(unquote_to_bytes(m[0]), most)]
+            yield from _texts(*_percent(m[0], m.start()), budget)
     if "\\" in text or "&#" in text or WIDE.search(text):
         for m in UNICODE.finditer(text):
-            out.append((layer := _escaped(m[0]), *m.span()))
-            if UNCLEAN.search(layer) or not layer.isascii():  # escapes of bytes
+            layer = _escaped(m[0], m.start())
+            yield layer
+            if UNCLEAN.search(layer[0]) or not layer[0].isascii():  # escapes of bytes
                 try:
-                    out += [(deeper, *m.span()) for deeper in _layers(layer.encode("latin-1"), most)]
+                    raw = layer[0].encode("latin-1")
                 except UnicodeEncodeError:
-                    pass
+                    continue
+                yield from _texts(raw, *layer[1:], budget)
     for m in BASE64.finditer(text):
         if not HEX.fullmatch(m[0]):
-            out += [(layer, m.start() + a, m.start() + b) for layers, a, b in _blobs(m[0], most) for layer in layers]
+            yield from _blobs(m[0], m.start(), budget)
     for m in BASE64_LINES.finditer(text):
-        out += [(layer, *m.span()) for layer in _layers(_base64("".join(m[0].split())), most)]
-    return out
+        places = m.start() + np.array([i for i, c in enumerate(m[0]) if c not in "\r\n="], np.int64)
+        raw = _base64("".join(m[0].split()))
+        yield from _texts(raw, *_sixes(raw, places), budget)
 
 
 def scan(text: str, most: int = MOST_INFLATED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of one text; both sorted by start, then kind."""
     base = base_matches(text)
-    spans = set(base)
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = deque(unwrapped(text, most))
+    spans, seen, budget = set(base), set(), Budget(most)
+    work = deque([Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))])
     while work:
-        layer, a, b = work.popleft()
-        mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass") + b"\0%d:%d" % (a, b), digest_size=16).digest()
-        if mark in seen:
-            continue
-        seen.add(mark)
-        spans.update((kind, a, b) for kind, _, _ in base_matches(layer))
-        work.extend((deeper, a, b) for deeper, _, _ in unwrapped(layer, most))
-    return base, sorted(spans, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
+        layer = work.popleft()
+        if layer.text != text:
+            spans.update((kind, *layer.span(a, b)) for kind, a, b in base_matches(layer.text))
+        try:
+            for below in unwrapped(layer.text, budget):
+                if not below[0]:
+                    continue
+                new = layer.below(*below)
+                mark = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass") + b"\0%d:%d" % new.span(0, len(new.text)), digest_size=16).digest()
+                if mark not in seen and new.text != text:
+                    seen.add(mark)
+                    work.append(new)
+        except Bomb:
+            spans.add(("bomb", *layer.span(0, len(layer.text))))
+    return base, sorted(spans, key=lambda f: (f[1], ORDER.index(f[0]), f[2]))
 
 
 def encode(text: str, how: list[str]) -> str:
