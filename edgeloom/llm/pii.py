@@ -3,15 +3,17 @@
 Nodes are the candidate tokens of a text (address-like and number-like runs); all other
 words are observed as "none".  A linear chain joins neighbouring candidates; a skip edge
 joins a candidate to the next one that repeats it or resembles it (same digits up to a
-country prefix, same mailbox), so an entity found once carries its label to mentions that
-no pattern would accept.  Labels are inferred by loopy belief propagation; weights are
-learnt by pseudo-likelihood on a bounded sample whose labels the patterns give, with
-shape features dropped at random so that the skip edges must carry evidence.
+country prefix, same four parts of an address, same mailbox), so an entity found once carries
+its label to mentions that no pattern would accept.  Labels are inferred by loopy belief
+propagation.  Weights are learnt by pseudo-likelihood on a bounded sample whose labels the
+patterns give, and on the same texts with a known entity mentioned once more in a loose form
+that no pattern accepts but that keeps its label; loose forms of nothing known are "none".
+Shape features are dropped at random so that the skip edges must carry evidence.
 
 Spans of the patterns always stay; the field only adds spans.
 
 Defined results: a null text is an empty one; texts are read one by one, so ids may be null
-or repeated; a node has at most two skip edges, so repeats cost linear time; other columns
+or repeated; a node has at most a few skip edges, so repeats cost linear time; other columns
 are ignored.
 """
 
@@ -40,8 +42,9 @@ MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9])*+")
-MAIL_LIKE = re.compile(r"[^\s@<>,;:\"']++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>,;:\"']+")
+NUMBER = re.compile(r"\+?\(?[0-9](?:(?:[\x20().-]{0,3}|\[\.\])[0-9])*+")
+SPELT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?")
+MAIL_LIKE = re.compile(r"[^\s@<>,;:\"'\[(]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s@<>,;:\"']+")
 
 
 def _digits(s: str) -> str:
@@ -89,13 +92,19 @@ class Node:
     features: list[int]
 
 
-FEATURES = ["bias", "at", "at dotted", "at spelt", "dots 3", "parts small", "digits 7-8", "digits 9-11", "digits 12-19", "digits 20+", "luhn", "plus", "bracket", "separated", "grouped 4", "word before mail", "word before call", "word before card", "word before address"]
+FEATURES = ["bias", "at", "at dotted", "at spelt", "spelt dotted", "dots 3", "parts small", "quad", "digits 7-8", "digits 9-11", "digits 12-19", "digits 20+", "luhn", "plus", "bracket", "separated", "grouped 4", "word before mail", "word before call", "word before card", "word before address"]
 _PLACE = {x: i for i, x in enumerate(FEATURES)}
 #: Fixed cue words, lower case.
 CUES = {"word before mail": ("email", "e-mail", "mail", "contact", "courriel", "correo"), "word before call": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"), "word before card": ("card", "visa", "account", "karte", "carte", "tarjeta"), "word before address": ("ip", "host", "server", "address")}
 _CUE = {w: _PLACE[k] for k, words in CUES.items() for w in words}
 
 
+def _quad(s: str) -> str | None:
+    """The four parts of what looks like an address, whatever separates them."""
+    parts = re.findall("[0-9]+", s)
+    return ".".join(str(int(p)) for p in parts) if len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) else None
+
+
 def nodes(text: str) -> list[Node]:
     """The candidates of a text in order; address-like runs come before the numbers in them."""
     spans = [(m.start(), m.end(), True) for m in MAIL_LIKE.finditer(text)] if "@" in text or "[at]" in text or "(at)" in text or "AT" in text else []
@@ -104,7 +113,7 @@ def nodes(text: str) -> list[Node]:
     for m in NUMBER.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if len(_digits(m[0])) >= 7 and not (k < len(taken) and taken[k][0] < m.end()):
+        if (len(_digits(m[0])) >= 7 or len(m[0]) >= 7 and " " not in m[0] and _quad(m[0])) and not (k < len(taken) and taken[k][0] < m.end()):
             spans.append((*m.span(), False))
     out = []
     for a, b, mail in sorted(spans):
@@ -115,15 +124,17 @@ def nodes(text: str) -> list[Node]:
             if domain:
                 f += ["at"] + ["at dotted"] * ("." in domain.strip("."))
             else:
-                f.append("at spelt")
-                mailbox, domain = re.split(r"\x20?[\[(](?:at|AT)[\])]\x20?", s, maxsplit=1)
+                mailbox, domain = SPELT.split(s, maxsplit=1)
+                f += ["at spelt"] + ["spelt dotted"] * ("." in domain.strip("."))
             keys = [f"m:{mailbox.lower()}", f"m:{mailbox.lower()}@{domain.lower().strip('.')}"]
         else:
             d = _digits(s)
             n = len(d)
-            keys = [f"d:{d}"] + ([f"p:{d[-10:]}"] if 10 <= n <= 13 else [])
+            quad = _quad(s)
+            keys = [f"i:{quad}"] if quad else [f"d:{d}"] + ([f"p:{d[-9:]}"] if 9 <= n <= 15 else [])
             parts = s.split(".")
             f += ["dots 3"] * (len(parts) == 4) + ["parts small"] * (len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts))
+            f += ["quad"] * bool(quad)
             f.append("digits 7-8" if n < 9 else "digits 9-11" if n < 12 else "digits 12-19" if n < 20 else "digits 20+")
             f += ["luhn"] * (12 <= n <= 19 and luhn(d)) + ["plus"] * (s[0] == "+") + ["bracket"] * ("(" in s) + ["separated"] * (s != d) + ["grouped 4"] * bool(re.search(r"[0-9]{4}[ -][0-9]{4}", s))
         before = text[max(0, a - 24) : a].lower().replace(":", " ").split()
@@ -204,35 +215,94 @@ def _labels(text: str, found: list[Node]) -> np.ndarray:
     return y
 
 
-def _made_up(rng: np.random.Generator, n: int) -> list[str]:
-    """Invented texts in which an entity comes back in a form that the patterns know, for the case that the sample has few."""
-    out = []
+def loosened(rng: np.random.Generator, kind: str, mention: str) -> str:
+    """A form of the mention that the patterns of its kind don't accept."""
+    if kind == "email":
+        mailbox, domain = mention.split("@", 1)
+        return mailbox + [" [at] ", "(at)", " (at) ", "[at]"][rng.integers(4)] + domain
+    if kind == "ip":
+        return mention.replace(".", ["-", "[.]"][rng.integers(2)])
+    d = _digits(mention)
+    if kind == "card":
+        return ["." , "--", ". "][rng.integers(3)].join(d[i : i + 4] for i in range(0, len(d), 4))
+    local = d[-10:] if len(d) > 10 else d
+    cut = (local[:-7], local[-7:-4], local[-4:])
+    return ["{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "{} {} {}"][rng.integers(4)].format(*cut) if cut[0] else f"{cut[1]}-{cut[2]}"
+
+
+def _entity(rng: np.random.Generator, kind: str) -> str:
+    """An invented mention that the patterns accept."""
+    digit = lambda n: "".join(rng.choice(list("0123456789"), n))
+    if kind == "email":
+        return f"{''.join(rng.choice(list('abcdefghij'), 5))}{rng.integers(1000)}@{''.join(rng.choice(list('klmnopqr'), 6))}.org"
+    if kind == "ip":
+        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == "phone":
+        d = str(rng.integers(2, 10)) + digit(9)
+        return [f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"+{rng.integers(20, 99)} {d[:3]} {d[3:6]} {d[6:]}", f"+1{d}"][rng.integers(3)]
+    d = "4" + digit(14)
+    d += next(str(c) for c in range(10) if luhn(d + str(c)))
+    return [d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))][rng.integers(3)]
+
+
+def _nothing(rng: np.random.Generator) -> str:
+    """A candidate that is nothing: a loose form of what isn't mentioned, a number, an aside."""
+    kind = KINDS[rng.integers(4)]
+    if kind == "email":
+        return ["look [at] this", "meet (at) noon", "x@", "home (at) last"][rng.integers(4)]
+    if rng.random() < 0.5:
+        return loosened(rng, kind, _entity(rng, kind))
+    return "".join(rng.choice(list("123456789"), int(rng.integers(7, 18))))
+
+
+def _examples(rng: np.random.Generator, texts: list[str], n: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, loose mentions): the texts as they are and with an entity of theirs mentioned again, and n invented ones."""
+    out: list[tuple[str, list[tuple[str, int, int]]]] = [(t, []) for t in texts]
+    filler = [" of the ", " and then ", " near ", " or ", " with a "]
+
+    def put(parts: list[tuple[str, str | None]]) -> None:
+        text, loose = "", []
+        for part, kind in parts:
+            text += filler[rng.integers(len(filler))]
+            if kind:
+                loose.append((kind, len(text), len(text) + len(part)))
+            text += part
+        out.append((text, loose))
+
+    for t in texts:
+        base = base_matches(t)
+        if base and len(t) < 100_000:
+            kind, a, b = base[rng.integers(len(base))]
+            part = loosened(rng, kind, t[a:b])
+            text = t + filler[rng.integers(len(filler))]
+            out.append((text + part, [(kind, len(text), len(text) + len(part))]))
     for _ in range(n):
-        d = "".join(rng.choice(list("0123456789"), 10))
-        phone = f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
-        card = "4" + "".join(rng.choice(list("0123456789"), 14))
-        card += next(str(c) for c in range(10) if luhn(card + str(c)))
-        ip = ".".join(str(x) for x in rng.integers(0, 256, 4))
-        mail = f"user{rng.integers(1000)}@mail.example.org"
-        loose = "".join(rng.choice(list("123456789"), int(rng.integers(7, 11))))
-        parts = [phone, card, ip, mail, loose, " ".join(card[i : i + 4] for i in range(0, 16, 4))]
-        chosen = [parts[i] for i in rng.integers(0, len(parts), int(rng.integers(1, 5)))]
-        out.append(" of the and ".join(chosen + chosen[: int(rng.integers(0, 2))]))
+        parts: list[tuple[str, str | None]] = [(_nothing(rng), None) for _ in range(int(rng.integers(0, 3)))]
+        for _ in range(int(rng.integers(1, 4))):
+            kind = KINDS[rng.integers(4)]
+            mention = _entity(rng, kind)
+            parts += [(mention, None)] + [(loosened(rng, kind, mention), kind)] * bool(rng.random() < 0.6)
+        put([parts[i] for i in rng.permutation(len(parts))])
     return out
 
 
-def fit_texts(texts: list[str], seed: int = 7, steps: int = 300, rate: float = 0.5, drop: float = 0.35, penalty: float = 0.002) -> Model:
+def fit_texts(texts: list[str], seed: int = 7, steps: int = 300, rate: float = 0.5, drop: float = 0.35, penalty: float = 0.0005) -> Model:
     """Weights by gradient ascent on the pseudo-likelihood: each label given its neighbours' labels."""
     rng = np.random.default_rng(seed)
     u, y, source, target, kind, n = [], [], [], [], [], 0
-    for text in [*texts, *_made_up(rng, 400)]:
+    for text, loose in _examples(rng, texts, 1500):
         found = nodes(text)
         pairs, kinds = edges(found)
         rows = np.zeros((len(found), len(FEATURES)))
         for i, node in enumerate(found):
             rows[i, node.features] = 1
+        named = _labels(text, found)
+        for i, node in enumerate(found):
+            for what, a, b in loose:
+                if min(b, node.end) - max(a, node.start) > 0.6 * (node.end - node.start):
+                    named[i] = STATES.index(what)
         u.append(rows)
-        y.append(_labels(text, found))
+        y.append(named)
         source += [*(pairs[:, 0] + n), *(pairs[:, 1] + n)]
         target += [*(pairs[:, 1] + n), *(pairs[:, 0] + n)]
         kind += [*kinds, *(kinds + 2)]
@@ -302,8 +372,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
         keep = [i for i, t in enumerate(texts) if nodes(t)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([texts[i] for i in keep], pa.string())], ["doc_id", "text"])
 
-    rows = map_texts(few, around, "doc_id long, text string").collect()
-    return fit_texts([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows = map_texts(few, around, "doc_id long, text string").where(F.octet_length("text") <= 1_000_000).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return fit_texts([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
 
 
 def find(documents: DataFrame, model: Model | None = None) -> DataFrame:
