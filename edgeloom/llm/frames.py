@@ -41,8 +41,8 @@ def quoted(name: str) -> F.Column:
 
 
 def text_md5() -> F.Column:
-    """With an id, what tells rows apart that share it; null where the text is null."""
-    return F.md5(F.col("text").cast("binary"))
+    """With an id, what tells rows apart that share it (16 bytes); null where the text is null."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most_bytes: int = 2_000_000) -> DataFrame:
@@ -76,5 +76,21 @@ def bounded(df: DataFrame, most: int, key: str = "doc_id", parts: int = 8) -> Da
     return df.repartition(parts)
 
 
+def taught(documents: DataFrame, known: DataFrame, most_bytes: int = 96_000_000) -> DataFrame:
+    """doc_id, text and y of the documents whose id is in known (doc_id, y; bounded, an id once), for fitting only.
+
+    One text for each id - of several the one with the least hash - so rows are bounded by
+    `known`; of more than `most_bytes` of text a share, chosen by the hash of the ids, and no
+    text of more than an eighth of that.  Null texts are empty ones.
+    """
+    text = F.coalesce("text", F.lit(""))
+    few = documents.select("doc_id", text.alias("text")).where(F.octet_length("text") <= most_bytes // 8).join(F.broadcast(known), "doc_id")
+    one = cut(few.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).repartition(8))
+    size = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        one = one.where(F.pmod(F.xxhash64(F.lit(311), "doc_id"), F.lit(1 << 31)) < int(most_bytes / size * (1 << 31)))
+    return one
+
+
 def span_digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)

@@ -8,7 +8,7 @@ maps margins to scores.
 
 Defined results: a null text is an empty one; an empty text has no features and gets the
 sigmoid of the bias; a null doc_id counts as the empty id (held out); repeated rows give
-repeated results; other columns are ignored whatever their names; without two classes
+repeated results, and an id with several texts teaches one of them; other columns are ignored whatever their names; without two classes
 to learn from every score is the share of label 1 (0.5 without labels).
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import SPACED, WORDS, Batch, grams, mix, release, slices
-from edgeloom.llm.frames import bounded, id_crc, map_texts
+from edgeloom.llm.frames import bounded, id_crc, map_texts, taught
 
 #: The model learns from this many labelled documents at the most (chosen by id hash).
 SAMPLE = 6000
@@ -164,8 +164,6 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     known = bounded(known.groupBy("doc_id").agg(F.max("y").alias("y")), sample)
-    few = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(8)
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Batch.of_arrow(batch.column("text"))
         keys, docs = features(found)
@@ -173,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
         blobs = [keys[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(blobs, pa.binary())], ["doc_id", "y", "f"])
 
-    got = sorted(map_texts(few, encode, "doc_id long, y int, f binary").collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
+    got = sorted(map_texts(taught(documents, known), encode, "doc_id long, y int, f binary").collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
     return fit_rows([np.frombuffer(r["f"], np.int32).astype(np.int64) for r in got], np.array([r["y"] for r in got], np.int64))
 
 

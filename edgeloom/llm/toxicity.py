@@ -1,17 +1,20 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its own vector (a vocabulary of frequent training words, one shared
-vector for the rest) beside the mean vector of its hashed character 3-grams.  Windows of
-WINDOW words overlap by WINDOW - STRIDE and cover every text to its end; each window is
-read in both directions, pooled by attention and mapped to a logit.  A document's score
-is a calibrated sigmoid of its largest logit.
-
-Training sees a bounded labelled sample.  Labels are per document, so it alternates: the
-windows of toxic documents that look worst (by naive Bayes first, by the network later)
-are the positives, windows of the others the negatives.
+A word's input is its own vector (every word that LEAST_SEEN training documents have; one
+shared vector for the rest) beside the mean vector of its hashed character 3-grams.  A
+word's vector starts from how much more toxic documents hold it than an even word.  Windows
+of WINDOW words begin every STRIDE and cover every text to its end, so a passage of up to
+WINDOW - STRIDE + 1 words lies whole in one; each window is read in both directions, pooled
+by attention and mapped to a logit.  A document's score is a calibrated sigmoid of its
+largest logit.
+
+Training sees a bounded labelled sample, whatever the language.  Labels are per document,
+so it alternates: the windows of toxic documents that look worst (by their most telling word
+first, by the network later) are the positives, windows of the others the negatives.  A
+fifth of the sample is kept apart, from vocabulary and network, to calibrate.
 
 Defined results: null and empty texts are one empty window and are scored like any other;
-a null doc_id counts as the empty id; repeated rows give repeated results; other columns
+a null doc_id counts as the empty id; repeated rows give repeated results, and an id with several texts teaches one of them; other columns
 are ignored; without two classes to learn from every score is the share of label 1.
 """
 
@@ -25,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import _LETTER_HASH, WORDS, Batch, grams, mix, ragged
-from edgeloom.llm.frames import bounded, id_crc, map_texts
+from edgeloom.llm.frames import bounded, id_crc, map_texts, taught
 from edgeloom.llm.quality import sigmoid_fit
 
 #: The network learns from this many labelled documents at the most (chosen by id hash).
 SAMPLE = 5000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Steps of a training round on few windows; many windows are gone through twice.
 LEAST_STEPS = 60
-VOCABULARY = 4000
-HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 8, 8, 8, 13
+#: A word of its own vector is in so many training documents at least.
+LEAST_SEEN = 3
+HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 8, 8, 8, 15
 SIDES = ("f", "b")
 
 
@@ -244,23 +248,26 @@ def fit_texts(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int =
     rng, batch = np.random.default_rng(seed), Batch.of_strings(texts)
     words = Words(batch, np.zeros(0, np.uint64))
     owner = np.repeat(np.arange(batch.n), words.counts)
-    pair = np.unique(owner * (len(words.hash) + 1) + words.index) % (len(words.hash) + 1)
-    seen = np.bincount(pair, minlength=len(words.hash))
-    bad = np.bincount(np.unique(owner[labels[owner] > 0] * (len(words.hash) + 1) + words.index[labels[owner] > 0]) % (len(words.hash) + 1), minlength=len(words.hash))
-    often = np.flatnonzero(seen >= 5)
-    often = often[np.argsort(-seen[often], kind="stable")][:VOCABULARY]
-    vocabulary = np.sort(words.hash[often])
-    up, down = labels.sum() + 2, len(labels) - labels.sum() + 2
-    ratio = np.where(seen >= 5, np.log((bad + 0.5) / up) - np.log((seen - bad + 0.5) / down), -1.0)
+    apart = rng.random(batch.n) < 0.2  # calibrates; neither the vocabulary nor the network learns from it
+    doc_of, word = np.divmod(np.unique(owner * (len(words.hash) + 1) + words.index), len(words.hash) + 1)
+    taught = ~apart[doc_of]
+    seen = np.bincount(word[taught], minlength=len(words.hash))
+    bad = np.bincount(word[taught & (labels[doc_of] > 0)], minlength=len(words.hash))
+    known = np.flatnonzero(seen >= LEAST_SEEN)
+    vocabulary = words.hash[known]  # sorted, as the hashes are
+    share = (labels[~apart].sum() + 1) / ((~apart).sum() + 2)
+    telling = (bad - seen * share) / np.sqrt(seen * share * (1 - share) + 1)  # deviations from what an even word has
+    telling = np.where(seen >= LEAST_SEEN, np.clip(telling / 3, -2, 2), 0.0)
     words.name(vocabulary)
     doc, first, length = windows(words.counts)
     g = words.grid(doc, first, length)
-    worst = np.concatenate([ratio, [-9.0]])[g].max(axis=1)  # naive Bayes: the window's most telling word
+    worst = np.concatenate([telling, [-9.0]])[g].max(axis=1)  # at first: the window's most telling word
     toxic = labels[doc] > 0
     m = Model(vocabulary, _initial(len(vocabulary), rng))
+    m.p["word"][:-1, 0] = telling[known]  # a word's vector begins with how telling it is
+    m.p["word"][-1, 0] = 0.0
     clean = np.flatnonzero(~toxic)
     memory: dict = {}
-    apart = rng.random(batch.n) < 0.2  # calibrates; the network doesn't learn from it
     for k in range(rounds):
         if k:
             worst = logits(m, words, g)
@@ -286,7 +293,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     """documents (doc_id, text) and labels (doc_id, label); rows without a label teach nothing."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     known = bounded(known.groupBy("doc_id").agg(F.max("y").alias("y")), sample)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()
+    rows = sorted(taught(documents, known).collect(), key=lambda r: r["doc_id"])
     return fit_texts([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 
@@ -303,7 +310,7 @@ def score_batch(m: Model, batch: Batch) -> np.ndarray:
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score and predicted of every row."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and 2**CHAR_BITS
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words and 2**CHAR_BITS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = score_batch(sent.value, Batch.of_arrow(batch.column("text")))
