@@ -199,15 +199,40 @@ def test_vectors(spark, tmp_path):
         a, b = np.array(a, float), np.array(b, float)
         return a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
 
-    want = []
-    for i, (name, v, label) in enumerate(rows):
-        want.append((name if name is not None else -1, sum(bool(j != i and sound(v, label) and sound(u, m) and m == label and len(u) == len(v) and cosine(v, u) >= 0.98) for j, (_, u, m) in enumerate(rows))))
+    near = [[bool(j != i and sound(v, label) and sound(u, m) and m == label and len(u) == len(v) and cosine(v, u) >= 0.98) for j, (_, u, m) in enumerate(rows)] for i, (_, v, label) in enumerate(rows)]
+    name = [r[0] if r[0] is not None else -1 for r in rows]
+    root = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(len(rows)) if near[i][j]])
+    least = {}
+    for i, r in root.items():
+        if rows[i][0] is not None:
+            least[r] = min(least.get(r, 10**9), rows[i][0])
+    want = sorted((name[i], sum(near[i]), least[root[i]], name[i] == least[root[i]]) for i in range(len(rows)))
     got = vectors.near_duplicates(df, window=16)
-    assert sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"]) for r in got.collect()) == sorted(want)
-    assert got.where("vec_id = 165").first()["component_id"] == 1
+    assert sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_in_double_precision(spark):
+    """Sizes that floats or squares can't hold, zeros below zero, ids shared by different vectors, a column of whole numbers."""
+    rows = [(1, [1e60, 1e60]), (2, [1e60, 1e60]), (3, [1e-60, 0.0]), (4, [2e-60, -0.0]), (5, [1e300, 0.0]), (6, [1.0, 0.203]), (7, [1.0, 0.2031]), (8, [0.0, 5.0]), (8, [7.0, -7.0]), (9, [0.0, 1e-300])]
+    df = spark.createDataFrame([(i, v, "a", 0) for i, v in rows], "vec_id long, embedding array<double>, label string, nid int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 3), (4, 3, 3), (5, 3, 3), (6, 4, 3), (7, 1, 3), (8, 0, 8), (8, 1, 8), (9, 1, 8)]
+    ints = spark.createDataFrame([(1, [1, 2], 1), (2, [2, 4], 1), (3, [2, 4], 2)], "vec_id long, embedding array<int>, label int")
+    assert sorted((r["vec_id"], r["n_links"]) for r in vectors.near_duplicates(ints).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_bits_that_a_pair_at_the_threshold_keeps():
+    apart, rng = vectors.most_apart(), np.random.default_rng(7)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(4000, 32))
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    differ = ((x @ vectors.planes(32, 0).T > 0) != (y @ vectors.planes(32, 0).T > 0)).sum(axis=1)
+    assert (differ <= apart).all() and 10 < apart < 20
+
+
 def test_vectors_on_a_tight_cone(spark, monkeypatch):
     """Background cosines near 0.95: every link of 3,000 is found, by full comparison and by passes with bits."""
     rng = np.random.default_rng(9)
