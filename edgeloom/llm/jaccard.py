@@ -112,7 +112,7 @@ def signatures(documents: DataFrame, bands: int, rows: int, k: int = GRAM) -> Da
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_md5", "key", "n", "bands"])
 
     rows_ = documents.select("doc_id", "text", text_md5().alias("text_md5"))
-    return map_texts(rows_, run, "doc_id long, text_md5 string, key binary, n long, bands array<long>")
+    return map_texts(rows_, run, "doc_id long, text_md5 binary, key binary, n long, bands array<long>")
 
 
 def plain_words(batch: Batch) -> list[bytes]:
@@ -188,9 +188,8 @@ def verify(members: list[dict], similarity: float) -> list[tuple[bytes, int, byt
     return [(keys[m], int(links[m]), keys[order[root[place[m]]]]) for m in np.flatnonzero(links)]
 
 
-def _in_order(df: DataFrame, *names: str) -> DataFrame:
-    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *names).sortWithinPartitions(*names)
+def _parts(df: DataFrame) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def classes_of(documents: DataFrame, similarity: float = SIMILARITY, k: int = GRAM, recall: float = RECALL, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -202,13 +201,16 @@ def classes_of(documents: DataFrame, similarity: float = SIMILARITY, k: int = GR
     signed = cut(signatures(documents, bands, rows, k))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_md5"))
     classes = signed.where("key is not null").groupBy("key").agg(F.min(row).alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = classes.where("rep is not null").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_md5").alias("rep_md5"), "size", "n", "bands", F.posexplode("bands").alias("band", "h"))
+    # one shuffle by bucket serves both to count its members and to name them; all else about a class joins those that met
+    dealt = classes.where("rep is not null").select("key", "n", F.posexplode("bands").alias("band", "h")).repartition(_parts(documents), "band", "h")
     met = dealt.groupBy("band", "h").agg(F.count("*").alias("c"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit(5), "key")).alias("two")).where("c > 1")
     once = met.groupBy("one", "two", "c").agg(F.min(F.struct("band", "h", "grams")).alias("s")).select("s.*", "c")
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = cut(dealt.join(once.select("band", "h", blocks.alias("blocks")), ["band", "h"]))
+    members = cut(dealt.select("key", "band", "h").join(once.select("band", "h", blocks.alias("blocks")), ["band", "h"]))
+    among = cut(members.select("key").distinct().join(classes, "key").select("key", "size", "bands", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_md5").alias("text_md5")))
+    members = members.join(among.select("key", "size", "bands"), "key")
 
-    reps = members.select(F.col("rep_id").alias("doc_id"), F.col("rep_md5").alias("text_md5"), "key").distinct()
+    reps = among.select("doc_id", "text_md5", "key")
     few = reps.count() * 64 <= BROADCAST_BYTES
     md5 = text_md5()
     texts = documents.select("doc_id", "text", md5.alias("text_md5")).join(F.broadcast(reps) if few else reps, ["doc_id", "text_md5"]).select("key", "text")
@@ -224,7 +226,8 @@ def classes_of(documents: DataFrame, similarity: float = SIMILARITY, k: int = GR
         .select("key", "size", "bands", "band", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(found, "key")
     )
-    tasks = _in_order(tasks, "band", "h", "i", "j")
+    names = ("band", "h", "i", "j")
+    tasks = tasks.repartition(_parts(documents), *names).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, name, out = [], None, []
