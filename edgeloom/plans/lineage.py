@@ -1,16 +1,42 @@
-"""Cutting lineage between the rounds of an iterated plan."""
+"""Cutting lineage between the rounds of an iterated plan, in the shared folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint in the folder that spark.checkpoint.dir names (one of this machine only where none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine only where the session is local and names none."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="edgeloom-"))
+    current = context._jsc.sc().getCheckpointDir()
+    if not current.isEmpty():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="edgeloom-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by way of a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared ones, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the checkpoints that cut() wrote for these; nothing may read them any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (path := plan.rdd().getCheckpointFile()).isDefined():
+            delete(df.sparkSession, path.get())

@@ -54,6 +54,8 @@ def test_bounds_and_meeting(spark, path):
     assert {r["v"]: r["dist"] for r in traverse.sssp(g, 0, bound=1).collect()} == {0: 0, 1: 1, 2: 1}
     assert traverse.bidirectional(g, 0, 3, 3).first()["dist"] == 2
     assert traverse.bidirectional(g, 0, 3, 2).first()["dist"] is None
+    with pytest.raises(ValueError):
+        traverse.bidirectional(golden(spark, BAD[1]), 0, 3, 2)
     for s, t in zip(range(5), [4, 2, 4, 2, 3]):
         exact = DISTANCES[2][s][t]
         assert not traverse.shorter_path(g, s, t, exact)
