@@ -1,12 +1,17 @@
 """Substring de-duplication with a log-structured fingerprint index.
 
-Every window of WINDOW words gets an 80-bit fingerprint: a 48-bit sort key and an
-independent 32-bit check.  Each slice of a batch writes its fingerprints as immutable
-runs, one sorted, delta-coded blob for each key range.  A task merges the runs of one
-range - those of the index's history and those of the new batch - and a fingerprint met
-before is verified on the check bits.  What starts later is reported to its slice, which
-turns window starts into word intervals; documents with intervals are then rewritten.
-compact() merges the many runs of an index into one for each range.
+Every window of WINDOW words gets a fingerprint of 88 bits: a 48-bit sort key and a 40-bit
+check, from two independent hashes of the words' bytes.  Documents come in batches, in the
+order of their ids.  Each slice of a batch sends its fingerprints, sorted and delta-coded, to
+the key ranges; a task merges those of one range with the index's runs of historical window
+hashes in the same range, and a key met before is verified on the check.  What starts later
+is reported to its slice, which turns window starts into word intervals; what the range
+hadn't seen becomes the batch's own run, sorted and never changed.  Runs of like size are
+compacted into one, and ranges are split when they have grown.
+
+A run is a table bucketed by range, so history is merged where it lies and isn't shuffled.
+The index's state is a manifest in its folder: whoever opens the folder goes on from there,
+and what a batch wrote without a manifest doesn't count.
 
 History holds fingerprints only: whatever is in the index was there before the batch.
 Within a batch the order is (doc_id, start), a null id first.  A slice sends a repeated
@@ -20,7 +25,9 @@ they don't remove each other's words; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +38,19 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import SPACED, Batch, release, runs, slices
 from edgeloom.llm.frames import cut, map_texts
+from edgeloom.plans.lineage import delete, shared_folder
 
 WINDOW = 20
-KEY_BITS = 48
-#: Text bytes for each key range: what one merge task holds.
+KEY_BITS, CHECK_BITS = 48, 40
+#: Text bytes for each key range: what one merge task holds at a time; and windows for which a range of an index is split.
 RANGE_BYTES = 12_000_000
+RANGE_WINDOWS = 4_000_000
+#: Buckets of a run's table at the most; a bucket holds whole ranges.
+BUCKETS = 20_000
+#: Batches in which deduplicate() gives a table to its index.
+BATCHES = 3
+#: Executions in the index clear away their shuffle files when they end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest table of intervals that is broadcast; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 32_000_000
 _NULL_ID = -(1 << 63)
@@ -59,26 +74,32 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _three(at: np.ndarray) -> np.ndarray:
-    """Places within a slice in three bytes each; in four where the slice has more than 2**24 words."""
-    return at.astype(np.uint32) if len(at) and int(at.max()) >> 24 else np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).ravel()
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers in as few bytes each as the largest needs; how many comes first."""
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    wide = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.array([size], np.uint8), wide[:, :size].ravel()])
 
 
-def _from_three(packed: np.ndarray) -> np.ndarray:
-    if packed.dtype == np.uint32:
-        return packed
-    wide = np.zeros((len(packed) // 3, 4), np.uint8)
-    wide[:, :3] = packed.reshape(-1, 3)
-    return wide.view("<u4").ravel()
+def _widened(packed: np.ndarray) -> np.ndarray:
+    size = int(packed[0])
+    wide = np.zeros(((len(packed) - 1) // size, 8), np.uint8)
+    wide[:, :size] = packed[1:].reshape(-1, size)
+    return wide.view("<u8").ravel()
 
 
-def _deltas(sorted_keys: np.ndarray) -> np.ndarray:
-    d = np.diff(sorted_keys, prepend=np.uint64(0))
-    return d if len(d) and int(d.max()) >> 32 else d.astype(np.uint32)
+def _sorted_blob(keys: np.ndarray, checks: np.ndarray, *more: np.ndarray) -> bytes:
+    return _pack(_narrow(np.diff(keys, prepend=np.uint64(0))), _narrow(checks), *more)
 
 
-def _sums(deltas: np.ndarray) -> np.ndarray:
-    return np.cumsum(deltas, dtype=np.uint64)
+def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+    deltas, checks, *more = _unpack(blob)
+    return np.cumsum(_widened(deltas), dtype=np.uint64), _widened(checks), *more
+
+
+def _cuts(ranges: int) -> np.ndarray:
+    """The first keys of the ranges but the first."""
+    return np.array([-(-(r << KEY_BITS) // ranges) for r in range(1, ranges)], np.uint64)
 
 
 def fingerprints(batch: Batch, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,11 +109,10 @@ def fingerprints(batch: Batch, window: int = WINDOW) -> tuple[np.ndarray, np.nda
     n = len(starts)
     if n < window:
         z = np.zeros(0, np.uint64)
-        return z, z.astype(np.uint32), np.zeros(0, np.int64), doc, counts
+        return z, z, np.zeros(0, np.int64), doc, counts
     at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
     keys, checks = (runs(batch.word_hashes(SPACED, starts, ends, seed), window)[at] for seed in (0, 1))
-    keys, checks = keys >> np.uint64(64 - KEY_BITS), (checks >> np.uint64(32)).astype(np.uint32)
-    return keys, checks, at, doc, counts
+    return keys >> np.uint64(64 - KEY_BITS), checks >> np.uint64(64 - CHECK_BITS), at, doc, counts
 
 
 def _whole(text: bytes) -> bytes:
@@ -102,6 +122,8 @@ def _whole(text: bytes) -> bytes:
 def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
     """Rows (r, slice, kind, blob): a slice's run for each key range, and one row about its documents."""
 
+    cuts = _cuts(ranges)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -128,10 +150,10 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
                 digests = b"".join(_whole(found.data[a:b].tobytes()) for a, b in zip(found.offsets, found.offsets[1:]))
                 rows = [(int(name % ranges), name, 0, _pack(ids, counts, local, np.frombuffer(digests, np.uint8)))]
                 table = zlib.compress(_pack(np.diff(ids, prepend=0), counts), 1)
-                cuts = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(KEY_BITS)) // np.uint64(ranges)) if ranges > 1 else np.zeros(0, np.int64)
-                for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])):
+                edges = np.searchsorted(keys, cuts).tolist()
+                for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(keys)])):
                     if b > a:
-                        rows.append((r, name, 1, _pack(_deltas(keys[a:b]), checks[a:b], _three(at[a:b]), np.frombuffer(table, np.uint8))))
+                        rows.append((r, name, 1, _sorted_blob(keys[a:b], checks[a:b], _narrow(at[a:b]), np.frombuffer(table, np.uint8))))
                 name += 1
                 for k in range(0, len(rows), 64):
                     part = list(zip(*rows[k : k + 64]))
@@ -141,74 +163,91 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "r long, slice long, kind int, blob binary")
 
 
-def _merge(runs: list[tuple[int, bytes]], history: list[bytes]) -> dict[int, np.ndarray]:
-    """For each slice, the first words of the windows that were met before."""
+def _merge(runs: list[tuple[int, bytes]], history: list[bytes]) -> tuple[dict[int, np.ndarray], bytes | None]:
+    """(for each slice, the first words of the windows that were met before; the run of what is new)."""
     keys, checks, ids, starts, slice_, refs = [], [], [], [], [], []
     for name, blob in runs:
-        deltas, check, ref, table = _unpack(blob)
-        ref = _from_three(ref)
+        key, check, ref, table = _read_blob(blob)
+        ref = _widened(ref).astype(np.int64)
         step, counts = _unpack(zlib.decompress(table.tobytes()))
         begin = np.cumsum(counts) - counts
         doc = np.searchsorted(begin + counts, ref, "right")  # documents without words are passed over
-        keys.append(_sums(deltas))
+        keys.append(key)
         checks.append(check)
         ids.append(np.cumsum(step)[doc])
-        starts.append(ref.astype(np.int64) - begin[doc])
+        starts.append(ref - begin[doc])
         slice_.append(np.full(len(ref), name))
         refs.append(ref)
-    known_keys = [_sums(_unpack(b)[0]) for b in history]
-    known_checks = [_unpack(b)[1] for b in history]
-    keys = np.concatenate([*known_keys, *keys])
-    checks = np.concatenate([*known_checks, *checks])
-    old = sum(map(len, known_keys))
+    if not runs:
+        return {}, None
+    known = [_read_blob(b) for b in history]
+    keys = np.concatenate([*(k for k, _ in known), *keys])
+    checks = np.concatenate([*(c for _, c in known), *checks])
+    old = sum(len(k) for k, _ in known)
+    del known
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     twin = np.zeros(len(k), bool)
-    if len(k):
-        same = k[1:] == k[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
+    same = k[1:] == k[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
     some = order[twin]  # only keys that occur twice are verified
-    del order, k
-    if not len(some) or not refs:
-        return {}
-    ids, starts, slice_, refs = (np.concatenate(x) for x in (ids, starts, slice_, refs))
-    new = some >= old
-    i = np.maximum(some - old, 0)
-    order = np.lexsort((np.where(new, starts[i], 0), np.where(new, ids[i], 0), new, checks[some], keys[some]))
-    some, new, i = some[order], new[order], i[order]
-    head = np.ones(len(some), bool)
-    head[1:] = (keys[some][1:] != keys[some][:-1]) | (checks[some][1:] != checks[some][:-1])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))
-    here = new & ~head
-    here &= ~(new[first] & (ids[i] == ids[i[first]]) & (starts[i] == starts[i[first]]))
+    fresh = np.ones(len(keys), bool)
+    fresh[:old] = False
+    del k, same, twin
     out: dict[int, np.ndarray] = {}
-    where, what = slice_[i[here]], refs[i[here]]
-    order = np.lexsort((what, where))
-    where, what = where[order], what[order]
-    for name, a in zip(*np.unique(where, return_index=True)):
-        out[int(name)] = what[a : np.searchsorted(where, name, "right")]
-    return out
+    if len(some):
+        ids, starts, slice_, refs = (np.concatenate(x) for x in (ids, starts, slice_, refs))
+        new = some >= old
+        i = np.maximum(some - old, 0)
+        place = np.lexsort((np.where(new, starts[i], 0), np.where(new, ids[i], 0), new, checks[some], keys[some]))
+        some, new, i = some[place], new[place], i[place]
+        head = np.ones(len(some), bool)
+        head[1:] = (keys[some][1:] != keys[some][:-1]) | (checks[some][1:] != checks[some][:-1])
+        fresh[some[~head]] = False
+        first = np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))
+        here = new & ~head
+        here &= ~(new[first] & (ids[i] == ids[i[first]]) & (starts[i] == starts[i[first]]))
+        where, what = slice_[i[here]], refs[i[here]]
+        place = np.lexsort((what, where))
+        where, what = where[place], what[place]
+        for name, a in zip(*np.unique(where, return_index=True)):
+            out[int(name)] = what[a : np.searchsorted(where, name, "right")]
+    order = order[fresh[order]]
+    return out, _sorted_blob(keys[order], checks[order]) if len(order) else None
+
+
+ROWS = "r long, slice long, kind int, blob binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("r", "slice", "kind", "blob"), columns, _TYPES)})
 
 
 def _merged(runs: DataFrame, history: DataFrame | None) -> DataFrame:
-    """Reports (slice, kind, blob) of every key range; the rows about documents pass through."""
-    rows = runs if history is None else runs.unionByName(history.select("r", F.lit(-1).cast("long").alias("slice"), F.lit(2).alias("kind"), "blob"))
+    """What a batch makes of every key range: rows about documents (kind 0) that pass through, reports to slices (1), its run (2)."""
 
-    def one(table: pa.Table) -> pa.Table:
-        new, old, out = [], [], []
-        for name, kind, blob in zip(*(table.column(c).to_pylist() for c in ("slice", "kind", "blob"))):
+    def one(table: pa.Table, old: list[bytes]) -> pa.Table:
+        new, out = [], []
+        for r, name, kind, blob in zip(*(table.column(c).to_pylist() for c in ("r", "slice", "kind", "blob"))):
             if kind == 0:
-                out.append((name, 0, blob))
-            elif kind == 1:
-                new.append((name, blob))
+                out.append((r, name, 0, blob))
             else:
-                old.append(blob)
-        out += [(name, 1, _pack(ref)) for name, ref in _merge(new, old).items()] if new else []
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table({"slice": pa.array(columns[0], pa.int64()), "kind": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
+                new.append((name, blob))
+        found, run = _merge(new, old)
+        r = table.column("r")[0].as_py() if table.num_rows else 0
+        out += [(r, name, 1, _pack(ref)) for name, ref in found.items()]
+        return _table(out + ([(r, 0, 2, run)] if run else []))
 
-    return rows.groupBy("r").applyInArrow(one, "slice long, kind int, blob binary")
+    if history is None:
+        return runs.groupBy("r").applyInArrow(lambda table: one(table, []), ROWS)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return one(left, [b for c in right.column_names if c != "r" for b in right.column(c).to_pylist() if b is not None])
+
+    return runs.groupBy("r").cogroup(history.groupBy("r")).applyInArrow(both, ROWS)
 
 
 INTERVALS = "doc_id long, n_words long, n_removed long, whole binary, intervals binary"
@@ -224,7 +263,7 @@ def _intervals(reports: DataFrame, window: int) -> DataFrame:
                 ids, counts, local, digests = _unpack(blob)
                 hits.append(local)
             else:
-                hits.append(_unpack(blob)[0].astype(np.int64))
+                hits.append(_unpack(blob)[0])
         at = np.unique(np.concatenate(hits))
         begin = np.cumsum(counts) - counts
         doc = np.searchsorted(begin + counts, at, "right")
@@ -249,12 +288,6 @@ def ranges_of(documents: DataFrame) -> int:
     return max(1, -(-size // RANGE_BYTES))
 
 
-def repeated(documents: DataFrame, window: int = WINDOW, history: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, whole (digest of all words) and intervals (removed words, packed), one row for each row."""
-    runs = _runs(documents, ranges or ranges_of(documents), window)
-    return _intervals(_merged(runs, history), window)
-
-
 def _kept(text: bytes, intervals: bytes) -> bytes:
     words, out, done = text.split(), [], 0
     for a, b in zip(*_unpack(intervals)):
@@ -266,7 +299,7 @@ def _kept(text: bytes, intervals: bytes) -> bytes:
 def remove(documents: DataFrame, found: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text (words joined by one space) of every row.
 
-    `found` is what repeated() gave, cut.  Only documents that lose words are read again,
+    `found` is what _intervals() gave, cut.  Only documents that lose words are read again,
     unless the kept texts are asked for.
     """
     touched = found.where("intervals is not null")
@@ -293,58 +326,181 @@ def remove(documents: DataFrame, found: DataFrame, with_text: bool = False) -> D
     return same.unionByName(rewritten.drop("kept"))
 
 
-def deduplicate(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """One batch against an empty index: see remove() for the columns."""
-    return remove(documents, cut(repeated(documents, window)), with_text)
+def deduplicate(documents: DataFrame, window: int = WINDOW, with_text: bool = False, batches: int = BATCHES) -> DataFrame:
+    """The table in batches by id, each against the index of those before; see remove() for the columns."""
+    spark = documents.sparkSession
+    shares = [(k + 1) / batches for k in range(batches - 1)]
+    bounds = (documents.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(1000)).alias("b")).first()["b"] or []) if shares else []
+    index = FingerprintIndex(spark, f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}", window, ranges_of(documents))
+    out, at = None, None
+    for bound in [*sorted(set(bounds)), None]:
+        low = F.lit(True) if at is None else F.col("doc_id") >= at
+        high = F.lit(True) if bound is None else F.col("doc_id") < bound
+        if at is None:
+            high = high | F.col("doc_id").isNull()
+        part = index.add(documents.where(low & high), with_text)
+        out = part if out is None else out.unionByName(part)
+        at = bound
+    index.drop()
+    return out
 
 
 class FingerprintIndex:
-    """Sorted runs in a shared folder, for documents that arrive in batches.
+    """Runs in a shared folder, for documents that arrive in batches; a folder that holds an index is gone on with.
 
-    Layout: <folder>/run=<number>/ with rows (r, blob); a blob is one sorted run of keys
-    and checks.  Runs are never changed: add() writes one more, compact() writes a merged
-    run and the next state lists it instead of those it covers.
+    Layout: run-<name>/ are tables (r, slice, kind, blob) bucketed by r, of which the rows of
+    kind 2 are a run: for each range one sorted blob of keys and checks.  manifest-<number>.json
+    names the runs that count, their tiers and the ranges; the highest number is the state.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, ranges: int, window: int = WINDOW):
-        self.spark, self.folder, self.ranges, self.window, self.runs, self.made = spark, folder, ranges, window, [], 0
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema("r long, blob binary").parquet(*self.runs) if self.runs else None
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, ranges: int = 1):
+        self.spark, self.folder = spark, folder
+        found = self._manifests()
+        self.state = json.loads(self.spark.read.text(found[-1], wholetext=True).first()[0]) if found else {"number": 0, "window": window, "ranges": ranges, "runs": []}
+        if self.state["window"] != window:
+            raise ValueError(f"the index in {folder} has windows of {self.state['window']} words")
+
+    @property
+    def runs(self) -> list[dict]:
+        """name, tier, windows and ranges of every run that counts, the oldest first."""
+        return self.state["runs"]
+
+    def _files(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> list[str]:
+        where, files = self._files(self.folder)
+        if not files.exists(where):
+            return []
+        return sorted(str(f.getPath().toString()) for f in files.listStatus(where) if f.getPath().getName().startswith("manifest-"))
+
+    def _commit(self, runs: list[dict], **more) -> None:
+        """The next state: written under another name first, so that a manifest is whole or not there."""
+        old = self._manifests()
+        self.state = self.state | more | {"number": self.state["number"] + 1, "runs": runs}
+        draft, files = self._files(f"{self.folder}/draft-{uuid.uuid4().hex}")
+        out = files.create(draft)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        files.rename(draft, self._files(f"{self.folder}/manifest-{self.state['number']:08d}.json")[0])
+        for path in old:
+            delete(self.spark, path)
+
+    def _buckets(self) -> int:
+        return min(BUCKETS, self.state["ranges"])
 
     def _write(self, rows: DataFrame) -> str:
-        path, self.made = f"{self.folder}/run={self.made:06d}", self.made + 1
-        rows.select("r", "blob").write.mode("overwrite").parquet(path)
-        return path
+        """Writes rows as a table bucketed by range; its name."""
+        name = uuid.uuid4().hex
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            rows.write.bucketBy(self._buckets(), "r").format("parquet").option("path", f"{self.folder}/run-{name}").saveAsTable(f"edgeloom_run_{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return name
+
+    def _read(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(f"edgeloom_run_{name}"):  # written in another session
+            ranges = next((x["ranges"] for x in self.runs if x["name"] == name), self.state["ranges"])
+            self.spark.sql(f"CREATE TABLE edgeloom_run_{name} (r BIGINT, slice BIGINT, kind INT, blob BINARY) USING parquet OPTIONS (path '{self.folder}/run-{name}') CLUSTERED BY (r) INTO {min(BUCKETS, ranges)} BUCKETS")
+        return self.spark.table(f"edgeloom_run_{name}")
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS edgeloom_run_{name}")
+        delete(self.spark, f"{self.folder}/run-{name}")
+
+    def drop(self) -> None:
+        """Deletes the index; results that add() gave stay."""
+        for x in self.runs:
+            self._forget(x["name"])
+        delete(self.spark, self.folder)
+
+    def history(self, runs: list[dict] | None = None) -> DataFrame | None:
+        """r and a blob for each run (null where a run has nothing in the range): joined where the buckets lie."""
+        out = None
+        for k, x in enumerate(self.runs if runs is None else runs):
+            one = self._read(x["name"]).where("kind = 2").select("r", F.col("blob").alias(f"blob{k}"))
+            out = one if out is None else out.join(one, "r", "full")
+        return out
 
     def add(self, documents: DataFrame, with_text: bool = False) -> DataFrame:
-        """Rewrites the batch against all earlier batches and itself, then adds its fingerprints to the index."""
-        found = cut(repeated(documents, self.window, self.history(), self.ranges))
-        result = remove(documents, found, with_text)
-        runs = _runs(documents, self.ranges, self.window).where("kind = 1")
-        self.runs.append(self._write(self._sorted(runs)))
-        return result
-
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        def one(table: pa.Table) -> pa.Table:
-            keys, checks = [], []
-            for blob in table.column("blob").to_pylist():
-                parts = _unpack(blob)
-                keys.append(_sums(parts[0]))
-                checks.append(parts[1])
-            k, c = np.concatenate(keys), np.concatenate(checks)
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            return pa.table({"r": table.column("r")[:1].cast(pa.int64()), "blob": pa.array([_pack(_deltas(k[fresh]), c[fresh])], pa.binary())})
-
-        return rows.select("r", "blob").groupBy("r").applyInArrow(one, "r long, blob binary")
-
-    def compact(self) -> None:
-        """One run in place of all."""
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._sorted(self.history()))]
-
-
-__all__ = ["FingerprintIndex", "deduplicate", "fingerprints", "remove", "repeated"]
+        """Rewrites the batch against all earlier batches and itself; its fingerprints are in the index then."""
+        words = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        known = sum(x["windows"] for x in self.runs)
+        wanted = self.state["ranges"]
+        while wanted < max((known + words // 6) // RANGE_WINDOWS, 1):
+            wanted *= 2
+        if wanted > self.state["ranges"]:
+            self.compact(wanted)
+        runs = _runs(documents, self.state["ranges"], self.state["window"]).repartition(self._buckets(), "r")
+        name = self._write(_merged(runs, self.history()))
+        written = self._read(name)
+        found = cut(_intervals(written.where("kind < 2").select("slice", "kind", "blob"), self.state["window"]))
+        windows = found.agg(F.sum(F.greatest(F.col("n_words") - self.state["window"] + 1, F.lit(0)))).first()[0] or 0
+        self._commit([*self.runs, {"name": name, "tier": 0, "windows": windows, "ranges": self.state["ranges"]}])
+        while len(self.runs) > 1 and self.runs[-1]["tier"] >= self.runs[-2]["tier"]:
+            self._join(self.runs[-2:])
+        return remove(documents, found, with_text)
+
+    def _join(self, runs: list[dict]) -> None:
+        """One run in place of these."""
+        old = self.history(runs)
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    yield from _table([(row.column("r")[0].as_py(), 0, 2, _one_run([c[0].as_py() for c in row.columns[1:] if c[0].is_valid]))]).to_batches()
+
+        name = self._write(old.mapInArrow(one, ROWS))
+        made = {"name": name, "tier": max(x["tier"] for x in runs) + 1, "windows": sum(x["windows"] for x in runs), "ranges": self.state["ranges"]}
+        gone = {x["name"] for x in runs}
+        self._commit([x for x in self.runs if x["name"] not in gone] + [made])
+        for x in gone:
+            self._forget(x)
+
+    def compact(self, ranges: int | None = None) -> None:
+        """One run in place of all; ranges: in so many from now on."""
+        ranges = ranges or self.state["ranges"]
+        if not self.runs or len(self.runs) == 1 and ranges == self.state["ranges"]:
+            self.state["ranges"] = ranges
+            return
+        if ranges == self.state["ranges"]:
+            self._join(self.runs)
+            return
+        cuts, runs, old = _cuts(ranges), self.runs, None
+        for x in runs:
+            one = self._read(x["name"]).where("kind = 2").select("blob")
+            old = one if old is None else old.unionByName(one)
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column("blob").to_pylist():
+                    keys, checks = _read_blob(blob)
+                    first, last = (int(np.searchsorted(cuts, k, "right")) for k in (keys[0], keys[-1]))
+                    edges = [0, *np.searchsorted(keys, cuts[first:last]).tolist(), len(keys)]
+                    yield from _table([(r, 0, 2, _sorted_blob(keys[a:b], checks[a:b])) for r, a, b in zip(range(first, last + 1), edges, edges[1:]) if b > a]).to_batches()
+
+        def whole(table: pa.Table) -> pa.Table:
+            return _table([(table.column("r")[0].as_py(), 0, 2, _one_run(table.column("blob").to_pylist()))])
+
+        self.state["ranges"] = ranges
+        parts = old.mapInArrow(split, ROWS).repartition(self._buckets(), "r")
+        name = self._write(parts.groupBy("r").applyInArrow(whole, ROWS))
+        self._commit([{"name": name, "tier": max(x["tier"] for x in runs) + 1, "windows": sum(x["windows"] for x in runs), "ranges": ranges}])
+        for x in runs:
+            self._forget(x["name"])
+
+
+def _one_run(blobs: list[bytes]) -> bytes:
+    keys, checks = (np.concatenate(x) for x in zip(*map(_read_blob, blobs)))
+    order = np.lexsort((checks, keys))
+    keys, checks = keys[order], checks[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    return _sorted_blob(keys[fresh], checks[fresh])
+
+
+__all__ = ["FingerprintIndex", "deduplicate", "fingerprints", "remove"]

@@ -165,14 +165,31 @@ def test_substring(spark, documents, corpus, empty, tmp_path):
     text = substring.deduplicate(documents, with_text=True).collect()
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in text) and len(text) == len(want)
     assert substring.deduplicate(empty).count() == 0
-    index = substring.FingerprintIndex(spark, str(tmp_path / "index"), 3)
-    parts = []
-    for low, high in ((0, 60), (60, 110), (110, 1000)):
+
+
+def test_index_goes_on_from_its_manifest(spark, documents, corpus, tmp_path, monkeypatch):
+    """Every batch by a new object (and without the catalogue's tables), with ranges that split and runs that are joined."""
+    monkeypatch.setattr(substring, "RANGE_WINDOWS", 3000)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    parts, folder, ranges = [], str(tmp_path / "index"), []
+    for low, high in ((0, 40), (40, 80), (80, 110), (110, 1000)):
+        index = substring.FingerprintIndex(spark, folder)
         parts += [tuple(r) for r in index.add(documents.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))).select(columns).collect()]
-        if low:
-            index.compact()
-            assert len(index.runs) == 1
-    assert sorted_rows(parts) == want
+        ranges.append(index.state["ranges"])
+        for x in index.runs:
+            spark.sql(f"DROP TABLE edgeloom_run_{x['name']}")
+    assert sorted_rows(parts) == sorted_rows(brute_removed([r[:2] for r in corpus]))
+    assert ranges[0] < ranges[-1] and len(index.runs) <= 3
+    index = substring.FingerprintIndex(spark, folder)
+    (tmp_path / "index" / "run-unfinished").mkdir()
+    index.compact()
+    assert len(index.runs) == 1 and len(list((tmp_path / "index").glob("manifest-*.json"))) == 1
+    again = substring.FingerprintIndex(spark, folder).add(documents)
+    assert again.agg(F.sum(F.when(F.col("n_words") >= 20, F.col("n_words") - F.col("n_removed")))).first()[0] == 0
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, folder, window=7)
+    index.drop()
+    assert not (tmp_path / "index").exists()
 
 
 def test_substring_repeats(spark):
