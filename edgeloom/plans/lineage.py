@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder of the shared ones, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
