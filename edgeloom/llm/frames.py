@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,24 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import release, slices
+from edgeloom.plans.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder that spark.checkpoint.dir names.
-
-    Only where no folder is configured (tests) one is made on this machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="edgeloom-"))
-    return df.checkpoint(eager=True)
-
-
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -94,3 +82,6 @@ def taught(documents: DataFrame, known: DataFrame, most_bytes: int = 96_000_000)
 
 def span_digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
+
+
+__all__ = ["bounded", "cut", "fresh_name", "id_crc", "map_texts", "quoted", "span_digest", "table", "taught", "text_md5"]

@@ -420,6 +420,8 @@ def redact(documents: DataFrame, most: int = MOST_INFLATED) -> DataFrame:
                 suspect = np.flatnonzero(_suspects(found))
                 texts = batch.column("text").to_pylist()
                 for i in suspect:
+                    if texts[i] is None:  # between two texts that make one run
+                        continue
                     texts[i] = masked(texts[i], scan(texts[i], most)[1])
                 columns = list(batch.columns)
                 columns[place] = pa.array(texts, batch.schema.field(place).type)
