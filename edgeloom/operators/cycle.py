@@ -1,18 +1,23 @@
-"""Chains on the simple cycle, and coverage of its states, as folds inside Catalyst.
+"""Chains on the simple cycle, and coverage of its states.
 
 On one cycle a weighting is legal exactly if its sum isn't negative, so a chain needs no
-search: a higher-order fold over its steps keeps the weights and their sum.  Rows are
-chains; there is no Python in any plan here.
+search.  Coverage runs short chains on a few edges, each a higher-order fold over its steps
+that keeps the weights and their sum; the whole sweep is one plan, its rows are chains, and
+no Python is in it.  A long chain on many edges is a task of its own that changes one weight
+in place for each step, as a fold would copy all of them.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.functions.prng import draw
+from edgeloom.functions.prng import SPAN, draw, python_draw
+from edgeloom.functions.weights import parse_initial
 
 
 def _step(state: Column, low: int, high: int, n: int, seed: int, chain: Column, step: Column) -> tuple[Column, Column]:
@@ -24,31 +29,59 @@ def _step(state: Column, low: int, high: int, n: int, seed: int, chain: Column,
     return F.when(total >= 0, weights).otherwise(state["weights"]), F.when(total >= 0, total).otherwise(state["total"])
 
 
-def fold(chain: Column, n: int, low: int, high: int, initial: int, first: int, last: int, seed: int, dumps: tuple[int, ...] = ()) -> Column:
-    """The state after the steps first .. last: weights, total, and the weights after each step named in dumps."""
-    start = F.struct(
-        F.array_repeat(F.lit(initial).cast("bigint"), n).alias("weights"),
-        F.lit(n * initial).cast("bigint").alias("total"),
-        F.array().cast("array<struct<at:bigint,weights:array<bigint>>>").alias("dumps"),
-    )
+def fold(chain: Column, n: int, low: int, high: int, initial: int, first: int, last: Column | int, seed: int) -> Column:
+    """The state (weights, total) after the steps first .. last; last may differ by row."""
+    start = F.struct(F.array_repeat(F.lit(initial).cast("bigint"), n).alias("weights"), F.lit(n * initial).cast("bigint").alias("total"))
 
     def merge(state: Column, step: Column) -> Column:
         weights, total = _step(state, low, high, n, seed, chain, step)
-        kept = F.when(step.isin(*dumps), F.concat(state["dumps"], F.array(F.struct(step.alias("at"), weights.alias("weights"))))).otherwise(state["dumps"]) if dumps else state["dumps"]
-        return F.struct(weights.alias("weights"), total.alias("total"), kept.alias("dumps"))
+        return F.struct(weights.alias("weights"), total.alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), start, merge) if last >= first else start
+    last = F.lit(last) if isinstance(last, int) else last
+    steps = F.when(last >= first, F.sequence(F.lit(first).cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, start, merge)
 
 
-def cycle_chain(spark: SparkSession, n: int, low: int, high: int, initial: str = "m", chains: int = 1, seed: int = 1, partitions: int | None = None) -> DataFrame:
-    """chain, at, edge and weight after n/2, n, 2n, 5n and 10n steps (of 10n + 1, counted from 0)."""
+def cycle_chain(spark: SparkSession, n: int, low: float, high: float, initial: str = "m", chains: int = 1, seed: int = 1, partitions: int | None = None, integral: bool = True) -> DataFrame:
+    """chain, at, edge and weight after n/2, n, 2n, 5n and 10n steps (of 10n + 1, counted from 0).
+
+    initial: m(ax), z(ero), u(niform) or a number.  A step costs the same whatever n is.
+    """
     if low >= high or high < 0:
         raise ValueError("the least weight must be below the largest, which must not be negative")
-    dumps = tuple(sorted({n // 2, n, 2 * n, 5 * n, 10 * n}))
+    dumps, how = {n // 2, n, 2 * n, 5 * n, 10 * n}, parse_initial(initial)
+    kind = "bigint" if integral else "double"
+
+    def begin(chain: int) -> list:
+        if how.kind == "u":
+            draws = [python_draw(seed, chain, e, 3) for e in range(n)]
+            return [x % (int(high) + 1) if integral else x / SPAN * high for x in draws]
+        value = {"m": high, "z": 0}.get(how.kind, min(max(how.value, 0), high))
+        return [int(value) if integral else float(value)] * n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chain in batch.column(0).to_pylist():
+                weights = begin(chain)
+                total = sum(weights)
+                for t in range(10 * n + 1):
+                    edge, x = python_draw(seed, chain, t, 0) % n, python_draw(seed, chain, t, 1)
+                    w = low + x % (int(high) - int(low) + 1) if integral else low + x / SPAN * (high - low)
+                    after = total - weights[edge] + w
+                    if after >= 0:
+                        weights[edge], total = w, after
+                    if t in dumps:
+                        columns = [np.full(n, chain), np.full(n, t), np.arange(n), np.array(weights, np.int64 if integral else np.float64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chain", "at", "edge", "weight"])
+
     rows = spark.range(0, chains, 1, partitions or min(chains, spark.sparkContext.defaultParallelism))
-    states = rows.select(F.col("id").alias("chain"), fold(F.col("id"), n, low, high, high if initial == "m" else 0, 0, 10 * n, seed, dumps).alias("s"))
-    out = states.select("chain", F.explode("s.dumps").alias("d")).select("chain", "d.at", F.posexplode("d.weights").alias("edge", "weight"))
-    return out.select("chain", "at", F.col("edge").cast("bigint").alias("edge"), "weight")
+    return rows.mapInArrow(run, f"chain bigint, at bigint, edge bigint, weight {kind}")
+
+
+def cycledist(spark: SparkSession, n: int, low: float, high: float, initial: str = "m", chains: int = 1, seed: int = 1, integral: bool = True) -> DataFrame:
+    """Telemetry of cycle chains: round (steps for each edge), weight and initial."""
+    out = cycle_chain(spark, n, low, high, initial, chains, seed, integral=integral)
+    return out.select((F.col("at") / n).alias("round"), F.col("weight").cast("double").alias("weight"), F.lit(parse_initial(initial).char).alias("initial"))
 
 
 def encode(weights: Column, low: int, high: int) -> Column:
@@ -110,36 +143,44 @@ def completion(states: DataFrame, valid: int, share: int = 100) -> DataFrame:
     return rank.where(F.col("seen") == wanted).agg(F.min("run").alias("completion_run"))
 
 
-def run_count(n_states: int, runs: int, override: int | None = None) -> int:
-    """Runs of an experiment: `runs` for each possible state unless given."""
-    return override or runs * n_states
+def run_count(valid: int, runs: int, override: int | None = None) -> int:
+    """Runs of an experiment: `runs` for each legal state unless given."""
+    return override or runs * valid
 
 
-def coverage(spark: SparkSession, n: int = 8, low: int = -1, high: int = 1, steps: int = 16, runs: int = 1, repetitions: int = 1, seed: int = 1, total_runs: int | None = None, quit_early: bool = False) -> DataFrame:
+def coverage(spark: SparkSession, n: int = 8, low: int = -1, high: int = 1, steps: int = 16, runs: int = 1, repetitions: int = 1, seed: int = 1, total_runs: int | None = None, quit_early: bool = False, partitions: int | None = None) -> DataFrame:
     """A row for each repetition and step setting s < steps: chains of n * s // 4 steps (uniform draws where that is 0).
 
-    quit_early: runs after the completing one don't count.
+    One plan whatever the sweep's size.  completion_run is the first run by which all but a
+    hundredth of the legal states came up (null if none is); quit_early: an experiment that
+    completes has no frequencies.  An illegal state, or frequencies that don't add up to the
+    runs, are errors.  runtime_ms is null: experiments don't run one after another.
     """
-    import time
+    from edgeloom.graph import index_edges
+    from edgeloom.plans.lineage import cut
 
-    valid = valid_states(spark, n, low, high).cache()
+    valid = cut(valid_states(spark, n, low, high))
     count = valid.count()
-    number = run_count((high - low + 1) ** n, runs, total_runs)
-    out = None
-    for rep in range(repetitions):
-        for s in range(steps):
-            began, scaled = time.monotonic(), n * s // 4
-            key = seed + 1_000_003 * rep + 7 * s
-            states = (final_states(spark, n, low, high, scaled, number, key) if scaled else uniform_states(spark, n, low, high, number, key)).cache()
-            if states.join(valid, "enc", "left_anti").take(1):
-                raise AssertionError("a chain left the legal states")
-            done = completion(states, count).first()["completion_run"]
-            counted = number if done is None or not quit_early else done + 1
-            freq = frequency_of_frequencies(states.where(F.col("run") < counted), valid).agg(F.array_sort(F.collect_list(F.struct("freq", "cnt"))).alias("count_of_frequencies"))
-            row = freq.first()
-            if sum(f["freq"] * f["cnt"] for f in row["count_of_frequencies"]) != counted:
-                raise AssertionError("frequencies don't add up to the runs")
-            states.unpersist()
-            one = spark.createDataFrame([(n, low, high, scaled, number, count, row["count_of_frequencies"], done, math.ceil(1000 * (time.monotonic() - began)))], "nodes long, min_weight int, max_weight int, steps long, runs long, num_valid_encodings long, count_of_frequencies array<struct<freq:long,cnt:long>>, completion_run long, runtime_ms long")
-            out = one if out is None else out.unionByName(one)
-    return out
+    number, wanted = run_count(count, runs, total_runs), count - count // 100
+    ids = spark.range(0, repetitions * steps * number, 1, partitions or spark.sparkContext.defaultParallelism)
+    setting = F.expr(f"id div {number} % {steps}")
+    grid = ids.select("id", F.expr(f"id div {steps * number}").alias("repetition"), setting.alias("setting"), (F.col("id") % number).alias("run"), F.expr(f"{n} * (id div {number} % {steps}) div 4").alias("scaled"))
+    state = fold(F.col("id"), n, low, high, 0, 1, F.col("scaled"), seed)
+    walked = grid.where("scaled > 0").withColumn("s", state)
+    walked = walked.select("repetition", "setting", "run", F.when(F.col("s.total") >= 0, encode(F.col("s.weights"), low, high)).otherwise(F.raise_error(F.lit("a chain left the legal states"))).alias("enc"))
+    place = index_edges(valid.select(F.col("enc").alias("src"), F.lit(0).alias("dst"))).select(F.col("eid").alias("place"), F.col("src").alias("enc"))
+    drawn = grid.where("scaled = 0").withColumn("place", F.pmod(draw(seed, "id", 0, 5), F.lit(count))).join(place, "place").select("repetition", "setting", "run", "enc")
+    keys = ("repetition", "setting")
+    first = walked.unionByName(drawn).groupBy(*keys, "enc").agg(F.min("run").alias("run"), F.count("*").alias("freq"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("run"))
+    done = first.select(*keys, "run", rank.alias("seen")).where(F.col("seen") == wanted).select(*keys, F.col("run").alias("completion_run"))
+    sizes = first.groupBy(*keys, "freq").agg(F.count("*").alias("cnt"))
+    per = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("freq", "cnt"))).alias("listed"), F.sum(F.col("freq") * F.col("cnt")).alias("total"), F.sum("cnt").alias("distinct"))
+    unseen = F.lit(count) - F.col("distinct")
+    listed = F.when(unseen > 0, F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("freq"), unseen.alias("cnt"))), F.col("listed"))).otherwise(F.col("listed"))
+    checked = F.when(F.col("total") == number, listed).otherwise(F.raise_error(F.lit("frequencies don't add up to the runs")))
+    if quit_early:
+        checked = F.when(F.col("completion_run").isNotNull(), F.slice(listed, 1, 0)).otherwise(checked)
+    out = per.join(done, list(keys), "left")
+    fixed = [F.lit(n).cast("bigint").alias("nodes"), F.lit(low).cast("tinyint").alias("min_weight"), F.lit(high).cast("tinyint").alias("max_weight")]
+    return out.select(*keys, *fixed, F.expr(f"{n} * setting div 4").alias("steps"), F.lit(runs).cast("bigint").alias("runs"), F.lit(count).cast("bigint").alias("num_valid_encodings"), checked.alias("count_of_frequencies"), "completion_run", F.lit(None).cast("bigint").alias("runtime_ms"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,43 +30,62 @@ MOST_EDGES = 20_000_000
 
 
 class Chain:
-    """The state of one chain: adjacency both ways, weights and potentials."""
+    """The state of one chain: nodes by place, adjacency both ways, weights and potentials."""
 
     def __init__(self, edges: list[tuple[int, int, float]], zero: float = 0):
-        self.ends = [(u, v) for u, v, _ in edges]
+        self.names = sorted({x for u, v, _ in edges for x in (u, v)})
+        place = {x: i for i, x in enumerate(self.names)}
+        self.ends = [(place[u], place[v]) for u, v, _ in edges]
         self.w = [w for _, _, w in edges]
-        self.out: dict[int, list[int]] = {}
-        self.into: dict[int, list[int]] = {}
+        self.out: list[list[tuple[int, int]]] = [[] for _ in self.names]  # (other end, edge)
+        self.into: list[list[tuple[int, int]]] = [[] for _ in self.names]
         for i, (u, v) in enumerate(self.ends):
-            self.out.setdefault(u, []).append(i)
-            self.into.setdefault(v, []).append(i)
-        self.phi: dict[int, float] = {}
+            self.out[u].append((v, i))
+            self.into[v].append((u, i))
+        self.phi = [zero] * len(self.names)
         self.zero = zero
         self.insertions = 0
+        if any(w < 0 for w in self.w):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Potentials for weights of which some are negative to begin with; a negative cycle is an error."""
+        dist, rounds = [self.zero] * len(self.names), [0] * len(self.names)
+        queue, queued = deque(range(len(dist))), [True] * len(dist)
+        while queue:
+            x = queue.popleft()
+            queued[x] = False
+            for y, i in self.out[x]:
+                if dist[x] + self.w[i] < dist[y]:
+                    dist[y], rounds[y] = dist[x] + self.w[i], rounds[x] + 1
+                    if rounds[y] > len(dist):
+                        raise ValueError("the chain starts with a negative cycle")
+                    if not queued[y]:
+                        queue.append(y)
+                        queued[y] = True
+        self.phi = [-d for d in dist]
 
     def reduced(self, i: int, w: float | None = None) -> float:
         u, v = self.ends[i]
-        return (self.w[i] if w is None else w) + self.phi.get(v, self.zero) - self.phi.get(u, self.zero)
+        return (self.w[i] if w is None else w) + self.phi[v] - self.phi[u]
 
     def path_below(self, source: int, target: int, bound: float) -> bool:
         """Whether a path from source to target is shorter than bound, by label correction in first-in order."""
         best, queue, queued = {source: self.zero}, deque([source]), {source}
+        out, w = self.out, self.w
         self.insertions = 1
         while queue:
             x = queue.popleft()
             queued.discard(x)
             base = best[x]
-            for i in self.out.get(x, ()):
-                y = self.ends[i][1]
-                length = base + self.w[i]
+            for y, i in out[x]:
+                length = base + w[i]
                 if y not in best or length < best[y]:
+                    best[y] = length
                     if y == target:
                         if length < bound:
                             return True
-                        best[y] = length
-                        continue
-                    best[y] = length
-                    if y not in queued:
+                    elif y not in queued:
                         queued.add(y)
                         queue.append(y)
                         self.insertions += 1
@@ -74,65 +94,78 @@ class Chain:
     def labels_within(self, source: int, target: int, bound: float) -> dict[int, float] | None:
         """Reduced distances up to bound from source; None if the target is closer than that."""
         best, done, heap = {source: self.zero}, {}, [(self.zero, source)]
-        self.insertions = 1
+        out, w, phi, push, pop = self.out, self.w, self.phi, heapq.heappush, heapq.heappop
+        inserted = 1
         while heap:
-            d, x = heapq.heappop(heap)
+            d, x = pop(heap)
             if x in done:
                 continue
             if d > bound:
                 break
             done[x] = d
-            for i in self.out.get(x, ()):
-                y = self.ends[i][1]
-                length = max(d, d + self.reduced(i))  # drift of floats never shortens
+            base = d - phi[x]
+            for y, i in out[x]:
+                length = base + w[i] + phi[y]
+                if length > bound or y in done:
+                    continue
+                if length < d:
+                    length = d  # drift of floats never shortens
                 if y == target and length < bound:
+                    self.insertions = inserted
                     return None
-                if y not in done and length <= bound and (y not in best or length < best[y]):
+                if y not in best or length < best[y]:
                     best[y] = length
-                    heapq.heappush(heap, (length, y))
-                    self.insertions += 1
+                    push(heap, (length, y))
+                    inserted += 1
+        self.insertions = inserted
         return done
 
     def all_pairs(self) -> tuple[float | None, float, int]:
         """Mean (None unless all pairs are reached), largest (0 at least) and number of the true distances, by the potentials."""
-        names = sorted({x for e in self.ends for x in e})
-        total, most, reached = 0.0, 0.0, 0
-        for s in names:
+        total, most, reached, n = 0.0, 0.0, 0, len(self.names)
+        for s in range(n):
             for x, d in self.labels_within(s, -1, math.inf).items():
-                true = d - self.phi.get(x, self.zero) + self.phi.get(s, self.zero)
+                true = d - self.phi[x] + self.phi[s]
                 total, most, reached = total + true, max(most, true), reached + 1
-        return (total / reached if reached == len(names) ** 2 else None), most, reached
+        return (total / reached if reached == n * n else None), most, reached
 
     def labels_both(self, source: int, target: int, bound: float) -> tuple[float, float, dict[int, float], dict[int, float]] | None:
         """(df, db, forward and backward labels) with df + db = bound; None if a path is shorter than bound."""
-        best = ({source: self.zero}, {target: self.zero})
+        zero, w, phi, push, pop = self.zero, self.w, self.phi, heapq.heappush, heapq.heappop
+        best = ({source: zero}, {target: zero})
         done: tuple[dict, dict] = ({}, {})
-        heaps = ([(self.zero, source)], [(self.zero, target)])
-        front = [self.zero, self.zero]
-        links, end = (self.out, self.into), (1, 0)
-        self.insertions, side = 2, 0
+        ahead, behind = done
+        heaps = ([(zero, source)], [(zero, target)])
+        front, links, signs = [zero, zero], (self.out, self.into), (1, -1)
+        inserted, side = 2, 0
         while heaps[0] or heaps[1]:
             if not heaps[side]:
                 side = 1 - side
-            d, x = heapq.heappop(heaps[side])
-            if x not in done[0] and x not in done[1]:
+            d, x = pop(heaps[side])
+            if x not in ahead and x not in behind:
                 front[side] = d
                 if front[0] + front[1] >= bound:  # nothing left inside: cut the side that just moved
                     front[side] = bound - front[1 - side]
-                    return front[0], front[1], done[0], done[1]
+                    self.insertions = inserted
+                    return front[0], front[1], ahead, behind
                 done[side][x] = d
-                for i in links[side].get(x, ()):
-                    y = self.ends[i][end[side]]
-                    length = max(d, d + self.reduced(i))
-                    other = best[1 - side].get(y)
-                    if other is not None and length + other < bound:
+                sign, mine, other, heap, at = signs[side], best[side], best[1 - side], heaps[side], phi[x]
+                for y, i in links[side][x]:
+                    length = d + (w[i] + sign * (phi[y] - at))
+                    if length < d:
+                        length = d
+                    if length >= bound:
+                        continue
+                    if y in other and length + other[y] < bound:
+                        self.insertions = inserted
                         return None
-                    if y not in done[0] and y not in done[1] and length < bound and (y not in best[side] or length < best[side][y]):
-                        best[side][y] = length
-                        heapq.heappush(heaps[side], (length, y))
-                        self.insertions += 1
+                    if (y not in mine or length < mine[y]) and y not in ahead and y not in behind:
+                        mine[y] = length
+                        push(heap, (length, y))
+                        inserted += 1
             side = 1 - side
-        return bound - front[1], front[1], done[0], done[1]
+        self.insertions = inserted
+        return bound - front[1], front[1], ahead, behind
 
     def step_bf(self, i: int, w: float) -> tuple[bool, bool]:
         """(accepted, searched)."""
@@ -164,7 +197,7 @@ class Chain:
             return False, True
         self.w[i] = w
         for x, d in found.items():
-            self.phi[x] = self.phi.get(x, self.zero) + need - d
+            self.phi[x] += need - d
         return True, True
 
     def step_bd(self, i: int, w: float) -> tuple[bool, bool]:
@@ -178,9 +211,9 @@ class Chain:
         self.w[i] = w
         ahead, behind, forward, backward = found
         for x, d in forward.items():
-            self.phi[x] = self.phi.get(x, self.zero) + max(self.zero, ahead - d)
+            self.phi[x] += max(self.zero, ahead - d)
         for x, d in backward.items():
-            self.phi[x] = self.phi.get(x, self.zero) - max(self.zero, behind - d)
+            self.phi[x] -= max(self.zero, behind - d)
         return True, True
 
 
@@ -210,13 +243,15 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
         chain = Chain(list(zip(rows["src"].tolist(), rows["dst"].tolist(), weights)))
         step, m, name = getattr(chain, f"step_{algorithm}"), len(rows), int(key[0])
         trace = []
-        total = sum(chain.w)
+        total, clock = sum(chain.w), time.monotonic()
         negative = sum(w < 0 for w in chain.w)
         for t in range(1, math.ceil(m * rounds_per_edge) + 1):
             if want == "apsp" and t % interval == 0:
                 trace.append((name, t // interval, *chain.all_pairs()))
             if want == "intervals" and t % interval == 0:
-                trace.append((name, t // interval, total / m, negative / m))
+                now = time.monotonic()
+                trace.append((name, t // interval, total / m, negative / m, int(1000 * (now - clock)), algorithm))
+                clock = now
             i, w = proposals(name, t, m)
             before = chain.w[i]
             ok, searched = step(i, w)
@@ -230,9 +265,10 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
         if want == "apsp":
             return pd.DataFrame(trace, columns=["chain", "round", "mean", "max", "reached"])
         if want == "intervals":
-            return pd.DataFrame(trace, columns=["chain", "round", "avg", "frac"])
+            return pd.DataFrame(trace, columns=["chain", "round", "avg", "frac", "time", "algo"])
         ends = list(zip(*chain.ends))
-        return pd.DataFrame({"chain": name, "eid": range(m), "src": ends[0], "dst": ends[1], "w": [float(x) for x in chain.w], "phi_src": [float(chain.phi.get(x, 0)) for x in ends[0]], "phi_dst": [float(chain.phi.get(x, 0)) for x in ends[1]]})
+        phi = [[float(chain.phi[x]) for x in side] for side in ends]
+        return pd.DataFrame({"chain": name, "eid": range(m), "src": [chain.names[x] for x in ends[0]], "dst": [chain.names[x] for x in ends[1]], "w": [float(x) for x in chain.w], "phi_src": phi[0], "phi_dst": phi[1]})
 
     return run
 
@@ -240,8 +276,8 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
 def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, want: str = "final", interval: int = 10_000) -> DataFrame:
     """What the chains give: want 'final' (edges with both ends' potentials), 'trace' (every step), 'intervals' or 'apsp'.
 
-    'intervals' gives the average weight and the share of negative edges every `interval`
-    steps, 'apsp' mean and largest distance (for the deciders that keep potentials).
+    'intervals' gives the average weight, the share of negative edges and the milliseconds of every
+    `interval` steps, 'apsp' mean and largest distance (for the deciders that keep potentials).
     """
     if low >= high:
         raise ValueError("the least weight must be below the largest")
@@ -256,18 +292,20 @@ def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: floa
     integral = dict(g.edges.dtypes)["w"] not in ("double", "float")
     copies = g.edges.withColumn("chain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chains - 1).cast("long"))))
     kernel = _kernel(algorithm, Proposals(seed, low, high, integral), rounds_per_edge, want, interval)
-    schema = {"trace": TRACE, "final": FINAL, "intervals": "chain long, round long, avg double, frac double", "apsp": "chain long, round long, mean double, max double, reached long"}[want]
+    schema = {"trace": TRACE, "final": FINAL, "intervals": "chain long, round long, avg double, frac double, time long, algo string", "apsp": "chain long, round long, mean double, max double, reached long"}[want]
     return copies.groupBy("chain").applyInPandas(kernel, schema)
 
 
 def sample_weights(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, check: bool = False) -> DataFrame:
     """chain, eid, src, dst and w after ceil(m * rounds_per_edge) steps; check: no negative cycle before and after."""
     from edgeloom.operators.traverse import has_negative_cycle
+    from edgeloom.plans.lineage import cut
 
     if check and has_negative_cycle(g):
         raise ValueError("the graph starts with a negative cycle")
     out = run_chains(g, low, high, rounds_per_edge, algorithm, chains, seed)
     if check:
+        out = cut(out)  # else every step of the checks would run the chains again
         for c in range(chains):
             if has_negative_cycle(Graph(out.where(F.col("chain") == c).select("eid", "src", "dst", "w"), g.nodes)):
                 raise AssertionError(f"chain {c} ended with a negative cycle")

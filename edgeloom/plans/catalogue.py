@@ -56,8 +56,17 @@ def indexed(spark: SparkSession, sf_dir: str, name: str, weight: str = PLANTED)
     return Graph(index_edges(g.edges.drop("eid")).select("eid", "src", "dst", "w"), g.nodes)
 
 
-def _edges_sql(name: str, weight: str = PLANTED) -> str:
-    return f"g AS (SELECT src, dst, CAST({weight} AS BIGINT) AS w FROM ({sql_pairs(name)})), nodes AS (SELECT src AS v FROM g UNION SELECT dst FROM g)"
+def _edges_sql(name: str, weight: str = PLANTED, where: str = "true") -> str:
+    return f"g AS (SELECT src, dst, CAST({weight} AS BIGINT) AS w FROM ({sql_pairs(name)}) WHERE {where}), nodes AS (SELECT src AS v FROM g UNION SELECT dst FROM g)"
+
+
+#: Leaves enough edges of a dense graph out that it has many components.
+SPARSE = "(src * 7919 + dst * 104729) % 101 < 3"
+
+
+def sparse(spark: SparkSession, sf_dir: str, name: str) -> Graph:
+    edges = indexed(spark, sf_dir, name).edges.where(SPARSE)
+    return Graph(edges, edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("phi", F.lit(0).cast("bigint")))
 
 
 def _source(g: Graph) -> int:
@@ -159,6 +168,36 @@ def update_potentials(spark, sf_dir):
     return weighted(spark, sf_dir, "cust").update_potentials(deltas).nodes
 
 
+def _one(name: str, sql: str, look: Callable[[Graph], DataFrame]) -> None:
+    def run(spark, sf_dir):
+        return look(indexed(spark, sf_dir, "cust"))
+
+    run.__name__ = name
+    query(f"WITH {_edges_sql('cust')}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid, src, dst, w FROM g) {sql}")(run)
+
+
+_one("out_neighbors", "SELECT * FROM e WHERE src = 7", lambda g: g.out_neighbors(7))
+_one("in_neighbors", "SELECT * FROM e WHERE dst = 7", lambda g: g.in_neighbors(7))
+_one("edge_lookup", "SELECT * FROM e WHERE eid = 11", lambda g: g.edge(11))
+_one("potential_lookup", "SELECT DISTINCT src AS v, (src * 31) % 50 AS phi FROM e WHERE src = 7", lambda g: _with_phi(g).potential(7))
+
+
+@query(f"WITH {_edges_sql('nation')} SELECT src, dst FROM g")
+def edgelist_read(spark, sf_dir):
+    """A graph written as an edge list and read back: header, comment and all."""
+    import uuid
+
+    from edgeloom.plans.lineage import shared_folder
+
+    edges = weighted(spark, sf_dir, "nation").edges
+    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    size = edges.agg(F.count("*").alias("m"), F.greatest(F.max("src"), F.max("dst")).alias("v")).first()
+    head = spark.createDataFrame([(0, f"% from tables\np {size['v'] + 1} {size['m']}")], "k int, line string")
+    lines = edges.select(F.lit(1).alias("k"), F.concat_ws(",", "src", "dst").alias("line")).unionByName(head)
+    lines.repartition(1).sortWithinPartitions("k").select("line").write.option("lineSep", "\n").text(path)
+    return edgelist.read(spark, path)[0].select("src", "dst")
+
+
 # Generators and sources
 
 
@@ -230,6 +269,18 @@ def sssp(spark, sf_dir):
     return traverse.sssp(g, _source(g))
 
 
+@query(f"WITH RECURSIVE {_edges_sql('cust')}{_SSSP.format(bound='')} SELECT v, dist FROM d")
+def sssp_joins(spark, sf_dir):
+    g = weighted(spark, sf_dir, "cust")
+    return traverse.sssp(g, _source(g), plan="joins")
+
+
+@query(f"WITH RECURSIVE {_edges_sql('user', POSITIVE)}{_SSSP.format(bound=' AND d.dist + g.w <= 12')} SELECT v, dist FROM d")
+def sssp_bounded_joins(spark, sf_dir):
+    g = weighted(spark, sf_dir, "user", POSITIVE)
+    return traverse.sssp(g, _source(g), bound=12, plan="joins")
+
+
 @query(f"WITH RECURSIVE {_edges_sql('user', POSITIVE)}{_SSSP.format(bound=' AND d.dist + g.w <= 12')} SELECT v, dist FROM d")
 def sssp_bounded(spark, sf_dir):
     g = weighted(spark, sf_dir, "user", POSITIVE)
@@ -242,6 +293,12 @@ def reachability(spark, sf_dir):
     return traverse.reachable(g, _source(g))
 
 
+@query(f"WITH RECURSIVE {_edges_sql('cust')}, s AS (SELECT min(v) AS v FROM nodes), r AS (SELECT v FROM s UNION SELECT dst FROM r JOIN g ON r.v = g.src) SELECT v FROM r")
+def reachability_joins(spark, sf_dir):
+    g = weighted(spark, sf_dir, "cust")
+    return traverse.reachable(g, _source(g), plan="joins")
+
+
 _NODES_D = ", d(v, dist) USING KEY (v) AS (SELECT v, CAST(0 AS BIGINT) FROM nodes UNION SELECT g.dst, CAST(min(d.dist + g.w) AS BIGINT) FROM d JOIN g ON d.v = g.src JOIN recurring.d AS o ON o.v = g.dst WHERE d.dist + g.w < o.dist GROUP BY g.dst)"
 
 
@@ -250,15 +307,29 @@ def potentials(spark, sf_dir):
     return traverse.potentials(weighted(spark, sf_dir, "user"))
 
 
-@query(f"WITH {_edges_sql('user')} SELECT count(*) FILTER (WHERE w < 0) > 0 AS negative_edges, false AS negative_cycle FROM g")
-def negative_cycle_good(spark, sf_dir):
-    g = weighted(spark, sf_dir, "user")
-    return g.edges.agg((F.count_if(F.col("w") < 0) > 0).alias("negative_edges")).withColumn("negative_cycle", F.lit(traverse.has_negative_cycle(g)))
+@query(f"WITH RECURSIVE {_edges_sql('cust')}{_NODES_D} SELECT v, -dist AS phi FROM d")
+def potentials_joins(spark, sf_dir):
+    return traverse.potentials(weighted(spark, sf_dir, "cust"), plan="joins")
+
 
+#: Least walks of k edges, loops of weight 0 among them: a negative cycle is what still lowers one in round n.
+_ROUNDS = ", h AS (SELECT src, dst, w FROM g UNION ALL SELECT v, v, 0 FROM nodes), t(k, v, dist) AS (SELECT CAST(0 AS BIGINT), v, CAST(0 AS BIGINT) FROM nodes UNION ALL SELECT k + 1, h.dst, CAST(min(dist + w) AS BIGINT) FROM t JOIN h ON v = src WHERE k < (SELECT count(*) FROM nodes) GROUP BY k, h.dst)"
+_LOWERS = "EXISTS (SELECT 1 FROM t a JOIN t b ON a.v = b.v AND b.k = a.k + 1 WHERE b.k = (SELECT count(*) FROM nodes) AND b.dist < a.dist)"
 
-@query(f"WITH {_edges_sql('nation', RAW)} SELECT EXISTS (SELECT 1 FROM g a JOIN g b ON a.dst = b.src LEFT JOIN g c ON b.dst = c.src WHERE (a.src = b.dst AND a.w + b.w < 0) OR (c.dst = a.src AND a.w + b.w + c.w < 0)) AS negative_cycle")
-def negative_cycle_bad(spark, sf_dir):
-    return spark.range(1).select(F.lit(traverse.has_negative_cycle(weighted(spark, sf_dir, "nation", RAW))).alias("negative_cycle"))
+
+def _negative_cycle(name: str, graph: str, weight: str, plan: str) -> None:
+    def run(spark, sf_dir):
+        g = weighted(spark, sf_dir, graph, weight)
+        return g.edges.agg((F.count_if(F.col("w") < 0) > 0).alias("negative_edges")).withColumn("negative_cycle", F.lit(traverse.has_negative_cycle(g, plan)))
+
+    run.__name__ = name
+    query(f"WITH RECURSIVE {_edges_sql(graph, weight)}{_ROUNDS} SELECT (SELECT count(*) FILTER (WHERE w < 0) > 0 FROM g) AS negative_edges, {_LOWERS} AS negative_cycle")(run)
+
+
+_negative_cycle("negative_cycle_good", "user", PLANTED, "auto")
+_negative_cycle("negative_cycle_bad", "nation", RAW, "auto")
+_negative_cycle("negative_cycle_good_joins", "user", PLANTED, "joins")
+_negative_cycle("negative_cycle_bad_joins", "user", RAW, "joins")
 
 
 @query(f"WITH RECURSIVE {_edges_sql('cust')}, p AS (SELECT dst AS v, min(src) AS pred FROM g GROUP BY dst), q AS (SELECT nodes.v, p.pred FROM nodes LEFT JOIN p ON p.v = nodes.v), ok AS (SELECT v FROM q WHERE pred IS NULL UNION SELECT q.v FROM q JOIN ok ON q.pred = ok.v) SELECT v FROM q WHERE v NOT IN (SELECT v FROM ok)")
@@ -288,6 +359,11 @@ def apsp(spark, sf_dir):
     return traverse.apsp(weighted(spark, sf_dir, "nation"))
 
 
+@query(f"WITH RECURSIVE {_edges_sql('nation')}{_APSP} SELECT s AS source, v, dist FROM d")
+def apsp_joins(spark, sf_dir):
+    return traverse.apsp(weighted(spark, sf_dir, "nation"), plan="joins")
+
+
 _GOLDEN = [(0, 1, -1), (0, 2, -1), (1, 3, -1), (1, 4, -1), (2, 1, -1), (2, 3, -1), (3, 0, 3), (3, 1, 1), (3, 4, 0), (4, 0, 3)]
 
 
@@ -296,17 +372,29 @@ def fixture_apsp(spark, sf_dir):
     return traverse.apsp(Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5))
 
 
-_REACH = ", r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src)"
+_REACH = ", r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src), both_ways AS (SELECT x.a, min(x.b) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), l AS (SELECT nodes.v, least(nodes.v, coalesce(low, nodes.v)) AS scc FROM nodes LEFT JOIN both_ways ON a = v)"
+_LABELS = f"WITH RECURSIVE {_edges_sql('user', where=SPARSE)}{_REACH} SELECT v, scc FROM l"
+_LARGEST = f"WITH RECURSIVE {_edges_sql('user', where=SPARSE)}{_REACH}, big AS (SELECT scc FROM l GROUP BY scc ORDER BY count(*) DESC, scc LIMIT 1), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS new FROM l WHERE scc = (SELECT scc FROM big)) SELECT row_number() OVER (ORDER BY a.new, b.new) - 1 AS eid, a.new AS src, b.new AS dst, w FROM g JOIN k a ON a.v = src JOIN k b ON b.v = dst"
 
 
-@query(f"WITH RECURSIVE {_edges_sql('nation')}{_REACH} SELECT nodes.v, least(nodes.v, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = nodes.v), nodes.v)) AS scc FROM nodes")
+@query(_LABELS)
 def scc_labels(spark, sf_dir):
-    return structure.scc(weighted(spark, sf_dir, "nation"))
+    return structure.scc(sparse(spark, sf_dir, "user"))
+
 
+@query(_LABELS)
+def scc_labels_joins(spark, sf_dir):
+    return structure.scc(sparse(spark, sf_dir, "user"), plan="joins")
 
-@query(f"WITH RECURSIVE {_edges_sql('user')}, up AS (SELECT min(v) AS v FROM nodes UNION SELECT dst FROM up JOIN g ON up.v = g.src), down AS (SELECT min(v) AS v FROM nodes UNION SELECT src FROM down JOIN g ON down.v = g.dst), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS new FROM up WHERE v IN (SELECT v FROM down)) SELECT row_number() OVER (ORDER BY a.new, b.new) - 1 AS eid, a.new AS src, b.new AS dst, w FROM g JOIN k a ON a.v = src JOIN k b ON b.v = dst")
+
+@query(_LARGEST)
 def largest_scc(spark, sf_dir):
-    return structure.largest_scc(indexed(spark, sf_dir, "user")).edges
+    return structure.largest_scc(sparse(spark, sf_dir, "user")).edges
+
+
+@query(_LARGEST)
+def largest_scc_joins(spark, sf_dir):
+    return structure.largest_scc(sparse(spark, sf_dir, "user"), plan="joins").edges
 
 
 # Chains on the cycle and coverage
@@ -337,6 +425,16 @@ def cycle_chain_dist(spark, sf_dir):
     return cycle.cycle_chain(spark, 20, -10, 10, "m", 20, 5)
 
 
+@query(f"WITH RECURSIVE {_chain_sql(1000, -100, 100, 0, 0, 10000, 1, 6)} SELECT chain, step AS at, CAST(unnest(range(1000)) AS BIGINT) AS edge, unnest(weights) AS weight FROM c WHERE step IN (500, 1000, 2000, 5000, 10000)")
+def cycle_chain_long(spark, sf_dir):
+    return cycle.cycle_chain(spark, 1000, -100, 100, "z", 1, 6)
+
+
+@query(f"WITH RECURSIVE {_chain_sql(20, -10, 10, 7, 0, 200, 4, 8)} SELECT step / 20 AS round, CAST(unnest(weights) AS DOUBLE) AS weight, 'v' AS initial FROM c WHERE step IN (10, 20, 40, 100, 200)")
+def cycledist(spark, sf_dir):
+    return cycle.cycledist(spark, 20, -10, 10, "7", 4, 8)
+
+
 _COVER = f"WITH RECURSIVE {_chain_sql(4, -1, 1, 0, 1, 12, 600, 3)}, s AS (SELECT chain AS run, (weights[1] + 1) + (weights[2] + 1) * 3 + (weights[3] + 1) * 9 + (weights[4] + 1) * 27 AS enc FROM c WHERE step = 12), valid AS (SELECT i AS enc FROM range(81) t(i) WHERE i % 3 + i // 3 % 3 + i // 9 % 3 + i // 27 % 3 >= 4)"
 
 
@@ -365,9 +463,94 @@ def uniform_state_baseline(spark, sf_dir):
     return cycle.uniform_states(spark, 4, -1, 1, 5000, 9)
 
 
+_SWEEP = f"""WITH RECURSIVE {_chain_sql(4, -1, 1, 0, 1, 3, 3200, 2)}, valid AS (SELECT i AS enc, row_number() OVER (ORDER BY i) - 1 AS place FROM range(81) t(i) WHERE i % 3 + i // 3 % 3 + i // 9 % 3 + i // 27 % 3 >= 4),
+ids AS (SELECT i AS id, i // 1600 AS repetition, i // 400 % 4 AS setting, i % 400 AS run FROM range(3200) t(i)),
+e AS (SELECT repetition, setting, run, (weights[1] + 1) + (weights[2] + 1) * 3 + (weights[3] + 1) * 9 + (weights[4] + 1) * 27 AS enc FROM ids JOIN c ON chain = id AND step = setting WHERE setting > 0
+ UNION ALL SELECT repetition, setting, run, enc FROM ids JOIN valid ON place = {duckdb_draw(2, 'id', 0, 5)} % 50 WHERE setting = 0),
+f AS (SELECT repetition, setting, enc, min(run) AS run, count(*) AS freq FROM e GROUP BY 1, 2, 3),
+done AS (SELECT repetition, setting, run AS completion_run FROM f QUALIFY row_number() OVER (PARTITION BY repetition, setting ORDER BY run) = 50),
+z AS (SELECT repetition, setting, freq, count(*) AS cnt FROM f GROUP BY 1, 2, 3 UNION ALL SELECT repetition, setting, 0, 50 - count(*) FROM f GROUP BY 1, 2 HAVING count(*) < 50)
+SELECT z.repetition, z.setting, CAST(z.setting AS BIGINT) AS steps, string_agg(freq || ':' || cnt, ' ' ORDER BY freq) AS frequencies, any_value(completion_run) AS completion_run
+FROM z LEFT JOIN done ON done.repetition = z.repetition AND done.setting = z.setting GROUP BY 1, 2, 3"""
+
+
+@query(_SWEEP)
+def coverage_sweep(spark, sf_dir):
+    out = cycle.coverage(spark, 4, -1, 1, steps=4, runs=8, repetitions=2, seed=2)
+    listed = F.array_join(F.transform("count_of_frequencies", lambda x: F.concat_ws(":", x["freq"].cast("string"), x["cnt"].cast("string"))), " ")
+    return out.select("repetition", "setting", "steps", listed.alias("frequencies"), "completion_run")
+
+
 # Chains on graphs
 
 
+def _simple_cycles(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """The simple cycles of a small graph, as places of their edges."""
+    found: list[list[int]] = []
+
+    def walk(start: int, at: int, used: list[int], seen: set[int]) -> None:
+        for i, (u, v) in enumerate(edges):
+            if u == at and v == start:
+                found.append([*used, i])
+            elif u == at and v > start and v not in seen:
+                walk(start, v, [*used, i], seen | {v})
+
+    for s in sorted({u for u, _ in edges}):
+        walk(s, s, [], {s})
+    return found
+
+
+_STEPS, _CHAINS, _SEED, _LOW, _HIGH = 400, 4, 13, -3, 5
+_LEGAL = " AND ".join("p[" + "] + p[".join(str(i + 1) for i in c) + "] >= 0" for c in _simple_cycles([(a, b) for a, b, _ in _GOLDEN]))
+#: m (chain, step, eid, w_new, accepted, lower, weights): the golden graph's chains, a proposal being legal if no simple cycle is negative.
+_MCMC = f"""WITH RECURSIVE m(chain, step, eid, w_new, accepted, lower, weights) AS (
+ SELECT CAST(i AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), true, false, [{', '.join(f'CAST({w} AS BIGINT)' for _, _, w in _GOLDEN)}] FROM range({_CHAINS}) t(i)
+ UNION ALL SELECT chain, step + 1, e, w, ok, w < weights[e + 1], CASE WHEN ok THEN p ELSE weights END FROM (
+  SELECT *, {_LEGAL} AS ok FROM (SELECT *, list_concat(list_concat(weights[1:e], [w]), weights[e + 2:]) AS p FROM (
+   SELECT chain, step, weights, CAST({duckdb_draw(_SEED, 'chain', 'step + 1', 0)} % {len(_GOLDEN)} AS BIGINT) AS e, CAST({_LOW} + {duckdb_draw(_SEED, 'chain', 'step + 1', 1)} % {_HIGH - _LOW + 1} AS BIGINT) AS w FROM m WHERE step < {_STEPS}))))"""
+
+
+def _golden_chains(spark: SparkSession, algorithm: str, want: str = "trace") -> DataFrame:
+    g = Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5)
+    return sampling.run_chains(g, _LOW, _HIGH, _STEPS / len(_GOLDEN), algorithm, _CHAINS, _SEED, want)
+
+
+def _golden_trace(algorithm: str) -> Query:
+    def run(spark, sf_dir):
+        kind = ["kind"] if algorithm == "bf" else []  # searches of the others depend on their potentials
+        return _golden_chains(spark, algorithm).select("chain", "step", "eid", "w_new", "accepted", *kind)
+
+    run.__name__ = f"mcmc_trace_{algorithm}"
+    return run
+
+
+for _algorithm in sampling.ALGORITHMS:
+    _kind_sql = ", CASE WHEN lower THEN 'search' ELSE 'quick' END AS kind" if _algorithm == "bf" else ""
+    query(f"{_MCMC} SELECT chain, step, eid, CAST(w_new AS DOUBLE) AS w_new, accepted{_kind_sql} FROM m WHERE step > 0")(_golden_trace(_algorithm))
+
+
+@query(f"{_MCMC} SELECT chain, CAST(unnest(range({len(_GOLDEN)})) AS BIGINT) AS eid, CAST(unnest(weights) AS DOUBLE) AS w FROM m WHERE step = {_STEPS}")
+def mcmc_weights(spark, sf_dir):
+    return _golden_chains(spark, "bd", "final").select("chain", "eid", "w")
+
+
+@query(f"{_MCMC}, a AS (SELECT chain, step, CAST(sum(CAST(accepted AS BIGINT)) OVER (PARTITION BY chain ORDER BY step) AS DOUBLE) / step AS ratio FROM m WHERE step > 0) SELECT chain, (step + 99) // 100 * 100 AS round, round(avg(ratio), 9) AS rate FROM a GROUP BY 1, 2")
+def mcmc_acceptance(spark, sf_dir):
+    return telemetry.acceptance(_golden_chains(spark, "d")).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"{_MCMC} SELECT CASE WHEN accepted THEN 'acc' ELSE 'rej' END AS acc, count(*) AS n FROM m WHERE step > 0 AND lower GROUP BY 1")
+def mcmc_searches(spark, sf_dir):
+    return telemetry.insertions(_golden_chains(spark, "bf")).groupBy("acc").agg(F.count("*").alias("n"))
+
+
+@query(f"{_MCMC} SELECT chain, (step + 1) // 50 AS round, round(list_sum(weights) / {len(_GOLDEN)}, 9) AS avg, round(len(list_filter(weights, lambda x: x < 0)) / {len(_GOLDEN)}, 9) AS frac, 'bd' AS algo FROM m WHERE step % 50 = 49")
+def mcmc_intervals(spark, sf_dir):
+    g = Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5)
+    rows = sampling.run_chains(g, _LOW, _HIGH, _STEPS / len(_GOLDEN), "bd", _CHAINS, _SEED, "intervals", 50)
+    return rows.select("chain", "round", F.round("avg", 9).alias("avg"), F.round("frac", 9).alias("frac"), "algo")
+
+
 def _chains(spark: SparkSession, sf_dir: str, algorithm: str, want: str) -> DataFrame:
     g = indexed(spark, sf_dir, "nation", "100")
     return sampling.run_chains(g, -100, 100, 3.0, algorithm, 4, 11, want)

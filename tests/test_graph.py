@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import prng, weights
 from edgeloom.graph import Graph, undirected
 from edgeloom.operators import cycle, local, sampling, structure, telemetry, traverse
+from edgeloom.plans import catalogue
 from edgeloom.sources import edgelist, generators, specs
 from edgeloom.sources import telemetry as tables
 
@@ -127,6 +128,22 @@ def test_deciders_agree_and_stay_feasible():
                 assert all(chains[a].reduced(j) >= 0 for j in range(m))
 
 
+def test_chains_start_from_negative_weights():
+    """Potentials are made to fit first; a negative cycle to begin with is an error."""
+    for a in sampling.ALGORITHMS:
+        c = sampling.Chain([(*e, w) for e, w in zip(PAIRS, GOOD[0])])
+        assert all(c.reduced(i) >= 0 for i in range(10))
+        propose = sampling.Proposals(3, -3, 5, True)
+        for t in range(300):
+            i, w = propose(0, t, 10)
+            before, ok = list(c.w), getattr(c, f"step_{a}")(i, w)[0]
+            before[i] = w
+            assert ok == all(sum(before[k] for k in cycle_) >= 0 for cycle_ in catalogue._simple_cycles(PAIRS))
+    for w in BAD:
+        with pytest.raises(ValueError):
+            sampling.Chain([(*e, x) for e, x in zip(PAIRS, w)])
+
+
 def test_sampling_checks_itself(spark):
     g = golden(spark, GOOD[2])
     out = sampling.sample_weights(g, -3, 3, 5, "bd", chains=2, seed=4, check=True)
@@ -207,9 +224,15 @@ def test_conversion_saturates(spark):
 def test_cycle(spark):
     for n, count in ((4, 50), (8, 3834)):
         assert cycle.valid_states(spark, n).count() == count
-    rows = cycle.coverage(spark, 3, -1, 1, steps=3, runs=2, seed=2).collect()
+    rows = sorted(cycle.coverage(spark, 3, -1, 1, steps=3, runs=2, seed=2).collect(), key=lambda r: r["setting"])
     assert [r["steps"] for r in rows] == [0, 0, 1]
-    assert all(sum(f["freq"] * f["cnt"] for f in r["count_of_frequencies"]) == 54 for r in rows)
+    assert all(sum(f["freq"] * f["cnt"] for f in r["count_of_frequencies"]) == 34 for r in rows)  # twice the 17 legal states
+    early = cycle.coverage(spark, 2, 0, 1, steps=4, runs=20, quit_early=True).collect()
+    assert all((r["count_of_frequencies"] == []) == (r["completion_run"] is not None) for r in early) and any(r["completion_run"] for r in early)
+    for initial, value in (("m", 5), ("z", 0), ("3", 3), ("u", None)):
+        rows = cycle.cycledist(spark, 50, -5, 5, initial, 2, 3, integral=initial != "u").collect()
+        assert len(rows) == 2 * 5 * 50 and {r["round"] for r in rows} == {0.5, 1.0, 2.0, 5.0, 10.0}
+        assert {r["initial"] for r in rows} == {"v" if initial == "3" else initial}
     states = spark.createDataFrame([(i, e) for i, e in enumerate([1, 1, 2, 3, 1, 4])], "run long, enc long")
     assert cycle.completion(states, 4, 4).first()[0] == 3
     assert cycle.completion(states, 9, 9).first()[0] is None
