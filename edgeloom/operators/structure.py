@@ -15,7 +15,7 @@ def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """v and dist: the least start value (v, dist) of the nodes that reach v along edges (src, dst)."""
     kept = _prepared(edges.select("src", "dst", F.lit(0).cast("bigint").alias("w")))
     out, _ = relax(start, kept)
-    kept.unpersist()
+    discard(kept)
     return out
 
 

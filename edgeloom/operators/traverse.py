@@ -32,8 +32,8 @@ def _parts(df: DataFrame) -> int:
 
 
 def _prepared(edges: DataFrame) -> DataFrame:
-    """Edges dealt by source once, parallel ones reduced to the lightest, and kept for the rounds."""
-    return edges.groupBy("src", "dst").agg(F.min("w").alias("w")).repartition(_parts(edges), "src").cache()
+    """Edges dealt by source once, parallel ones reduced to the lightest, for all rounds."""
+    return cut(edges.groupBy("src", "dst").agg(F.min("w").alias("w")).repartition(_parts(edges), "src"), dealt=["src"])
 
 
 def relax(start: DataFrame, edges: DataFrame, keys: list[str] = [], bound: float | None = None, strict: bool = False, rounds: int | None = None, target: tuple[int, float] | None = None, cycles: bool = False) -> tuple[DataFrame, bool]:
@@ -45,14 +45,14 @@ def relax(start: DataFrame, edges: DataFrame, keys: list[str] = [], bound: float
     """
     names, parts = [*keys, "v"], _parts(start)
     best = lambda df: df.groupBy(*names).agg(F.min(F.struct("dist", "pred")).alias("b")).select(*names, "b.dist", "b.pred").repartition(parts, *names)
-    base = cut(best(start.select(*names, "dist", F.lit(None).cast("bigint").alias("pred"))))
+    base = cut(best(start.select(*names, "dist", F.lit(None).cast("bigint").alias("pred"))), dealt=names)
     frontier, deltas, settled, i = base, [], not base.take(1), 0
 
     def merged() -> DataFrame:
         out = base
         for d in deltas:
             out = out.unionByName(d)
-        return cut(best(out))
+        return cut(best(out), dealt=names)
 
     while not settled and (rounds is None or i < rounds):
         step = frontier.join(edges, F.col("v") == F.col("src")).select(*keys, F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
@@ -62,7 +62,7 @@ def relax(start: DataFrame, edges: DataFrame, keys: list[str] = [], bound: float
         for k, known in enumerate([base, *deltas]):
             found = found.join(known.select(*names, F.col("dist").alias(f"_had{k}")), names, "left")
         had = F.least(F.col("_had0"), *[F.col(f"_had{k}") for k in range(len(deltas) + 1)])
-        frontier = cut(found.where(had.isNull() | (F.col("dist") < had)).select(*names, "dist", "pred").repartition(parts, *names))
+        frontier = cut(found.where(had.isNull() | (F.col("dist") < had)).select(*names, "dist", "pred").repartition(parts, *names), dealt=names)
         deltas.append(frontier)
         settled, i = not frontier.take(1), i + 1
         if target and frontier.where((F.col("v") == target[0]) & (F.col("dist") < target[1])).take(1):
@@ -88,10 +88,10 @@ def is_small(g: Graph, plan: str) -> bool:
 
 
 def _from(g: Graph, start: DataFrame, keys: list[str] = [], edges: DataFrame | None = None, **how) -> tuple[DataFrame, bool]:
-    """relax() along the graph's edges, which are let go afterwards."""
+    """relax() along the graph's edges, which are deleted afterwards."""
     edges = _prepared(g.edges if edges is None else edges)
     out = relax(start, edges, keys, **how)
-    edges.unpersist()
+    discard(edges)
     return out
 
 
@@ -219,11 +219,11 @@ def rootless(pred: DataFrame) -> DataFrame:
 
     Pointers double in each round, so rounds grow with the logarithm of the longest path.
     """
-    jump = cut(pred.select("v", F.col("pred").alias("to")))
+    jump = cut(pred.select("v", F.col("pred").alias("to")), bare=True)
     n = jump.count()
     for _ in range(max(1, n.bit_length())):
         ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("next"))
-        before, jump = jump, cut(jump.where("to is not null").join(ahead, "to").select("v", F.col("next").alias("to")).where("to is not null"))
+        before, jump = jump, cut(jump.where("to is not null").join(ahead, "to").select("v", F.col("next").alias("to")).where("to is not null"), bare=True)
         discard(before)
         if not jump.take(1):
             break

@@ -22,10 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, bare: bool = False, dealt: list[str] | None = None) -> DataFrame:
+    """df by way of a reliable checkpoint.
+
+    bare: without the size and the constraints that the optimiser foretells of it: a
+    checkpoint hands them on, and in a loop of joins they double with every round.  dealt: bare, and
+    known to be dealt by these columns, as its last step is a repartition() by them; what joins
+    it on them then goes to it, and it stays where it is.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    if not bare and dealt is None:
+        return out
+    plan, jvm = out._jdf.queryExecution().logical(), spark._jvm
+    physical = jvm.org.apache.spark.sql.catalyst.plans.physical
+    parts = plan.rdd().getNumPartitions()
+    where = physical.UnknownPartitioning(parts)
+    if dealt:
+        columns = {a.name(): a for a in (plan.output().apply(i) for i in range(plan.output().size()))}
+        where = physical.HashPartitioning(jvm.scala.jdk.javaapi.CollectionConverters.asScala(jvm.java.util.ArrayList([columns[c] for c in dealt])).toSeq(), parts)
+    none = getattr(jvm.scala, "None$").__getattr__("MODULE$")
+    made = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), where, plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, made), spark)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
