@@ -43,12 +43,14 @@ from edgeloom.plans.lineage import delete, shared_folder
 WINDOW = 20
 KEY_BITS, CHECK_BITS = 48, 40
 #: Text bytes for each key range: what one merge task holds at a time; and windows for which a range of an index is split.
-RANGE_BYTES = 12_000_000
-RANGE_WINDOWS = 4_000_000
+RANGE_BYTES = 6_000_000
+RANGE_WINDOWS = 2_000_000
 #: Buckets of a run's table at the most; a bucket holds whole ranges.
 BUCKETS = 20_000
 #: Batches in which deduplicate() gives a table to its index.
 BATCHES = 3
+#: How a run's table is written: cells are large, so the writer looks at its size with every row, and random.
+PARQUET = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Executions in the index clear away their shuffle files when they end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest table of intervals that is broadcast; beyond it the texts are shuffled to them.
@@ -396,7 +398,7 @@ class FingerprintIndex:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            rows.write.bucketBy(self._buckets(), "r").format("parquet").option("path", f"{self.folder}/run-{name}").saveAsTable(f"edgeloom_run_{name}")
+            rows.write.bucketBy(self._buckets(), "r").format("parquet").options(**PARQUET).option("path", f"{self.folder}/run-{name}").saveAsTable(f"edgeloom_run_{name}")
         finally:
             self.spark.conf.set(CLEANUP, before)
         return name
