@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.frames import cut
+from edgeloom.plans.lineage import cut, discard
 
 
 def _state(e: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smaller ones (small star); groups are pre-aggregated minima, never collected.  Rounds
     grow with the logarithm of the longest path; edges with a null or equal ends are ignored.
     """
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), bare=True)
     state = _state(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        old, e = e, cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), bare=True)
+        discard(old)
         before, state = state, _state(e)
         if before == state:
             break

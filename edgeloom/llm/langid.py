@@ -26,8 +26,8 @@ from edgeloom.llm.frames import bounded, id_crc, map_texts
 #: Languages are learnt from this many documents at the most (chosen by id hash).
 SAMPLE = 8000
 BITS = 16
-#: A language has at most so many names; more is an error, as the matrix is broadcast.
-LANGUAGES = 1000
+#: The matrix that is broadcast has 2**CELLS cells at the most: with very many languages n-grams share buckets.
+CELLS = 26
 LATIN = re.compile("[A-Za-z]")
 
 
@@ -35,7 +35,8 @@ LATIN = re.compile("[A-Za-z]")
 class Model:
     names: list[str]
     prior: np.ndarray
-    matrix: np.ndarray  # 2**BITS x languages, log-probabilities
+    matrix: np.ndarray  # buckets x languages, log-probabilities
+    shift: int = 0  # what is cut off a bucket's number
 
 
 def has_letter(text: str) -> bool:
@@ -83,19 +84,18 @@ def fit(documents: DataFrame, sample: int = SAMPLE, smooth: float = 0.05) -> Mod
     rows = totals.toPandas()  # at most 2**BITS rows a language
     docs = few.groupBy("lang").count().toPandas()
     names = sorted(docs["lang"])
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the matrix that is broadcast holds {LANGUAGES} at the most")
-    matrix = np.full((1 << BITS, len(names)), smooth)
+    shift = max(0, BITS + max(0, len(names) - 1).bit_length() - CELLS)
+    matrix = np.full((1 << BITS - shift, len(names)), smooth)
     place = {x: i for i, x in enumerate(names)}
-    matrix[rows["bucket"].to_numpy(np.int64), rows["lang"].map(place).to_numpy(np.int64)] += rows["n"].to_numpy()
+    np.add.at(matrix, (rows["bucket"].to_numpy(np.int64) >> shift, rows["lang"].map(place).to_numpy(np.int64)), rows["n"].to_numpy())
     matrix = np.log(matrix) - np.log(matrix.sum(axis=0))
     seen = docs.set_index("lang")["count"].reindex(names).to_numpy(float)
-    return Model(names, np.log(seen / max(seen.sum(), 1)), matrix.astype(np.float32))
+    return Model(names, np.log(seen / max(seen.sum(), 1)), matrix.astype(np.float32), shift)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of the language named) of every row."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # 4 x languages x 2**BITS bytes
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # 4 x 2**CELLS bytes at the most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, found = sent.value, Batch.of_arrow(batch.column("text"))
@@ -104,7 +104,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             logs = np.tile(m.prior, (found.n, 1))
             for bucket, bounds in _buckets(found):
                 for j in range(len(m.names)):
-                    sums = np.concatenate([[0.0], np.cumsum(m.matrix[bucket, j], dtype=np.float64)])
+                    sums = np.concatenate([[0.0], np.cumsum(m.matrix[bucket >> m.shift, j], dtype=np.float64)])
                     logs[:, j] += sums[bounds[1:]] - sums[bounds[:-1]]
             best = logs.argmax(axis=1)
             part = np.exp(logs - logs.max(axis=1, keepdims=True))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.llm import frames, langid, packing, pii, quality, secrets, toxicity
 from edgeloom.llm.arrays import Batch
@@ -280,6 +281,52 @@ def test_language(documents, corpus, empty):
     assert langid.has_letter("1é") and not langid.has_letter("1²_ ")
 
 
+def test_language_counts_are_plain_bayes(spark, monkeypatch):
+    """Posteriors from n-gram counts by the book; ties, nothing learnt, and a matrix that has to be small."""
+    rows = [(0, "abab Ab", "x"), (1, "bcbc", "y"), (2, "abc", "x"), (3, "cab", None), (4, None, "y"), (None, "zz", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.names == ["x", "y"] and np.allclose(np.exp(model.prior), [2 / 3, 1 / 3])
+
+    def buckets(text):
+        return [b for bucket, _ in langid._buckets(Batch.of_strings([text])) for b in bucket.tolist()]
+
+    counts = {x: np.full(1 << langid.BITS, 0.05) for x in "xy"}
+    for _, text, lang in rows[:3]:
+        for b in buckets(text):
+            counts[lang][b] += 1
+    for text in ("abcb", "zz", "cab ab"):
+        logs = [math.log(p) + sum(math.log(counts[x][b] / counts[x].sum()) for b in buckets(text)) for x, p in (("x", 2 / 3), ("y", 1 / 3))]
+        got = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        assert got["lang_pred"] == "xy"[int(np.argmax(logs))]
+        assert abs(got["score"] - 1 / sum(math.exp(v - max(logs)) for v in logs)) < 1e-4
+    even = spark.createDataFrame([(0, "ab", "q"), (1, "ab", "p")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predict(even, langid.fit(even)).collect()} == {"p"}
+    nothing = langid.predict(docs, langid.fit(docs.where("lang is null"))).collect()
+    assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
+    monkeypatch.setattr(langid, "CELLS", 9)
+    small = langid.fit(docs)
+    assert small.matrix.shape == (256, 2) and langid.predict(docs, small).where("doc_id = 0").first()["lang_pred"] == "x"
+
+
+def test_rows_without_ids_and_rows_that_repeat(spark, documents, labels):
+    """Every operator on texts gives a row (packing: pieces) for each row, whatever its id, and the same for the same text."""
+    few = documents.where("doc_id < 40 or doc_id >= 300")
+    twice = few.unionByName(few).unionByName(few.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    n = twice.count()
+    for op in (lambda d: pii.find(d, pii.fit_texts([])), secrets.find, lambda d: quality.classify(d, labels), langid.identify, lambda d: toxicity.classify(d, labels)):
+        rows = op(twice).collect()
+        assert len(rows) == n
+        by_id = {}
+        for r in rows:
+            if r["doc_id"] is not None:
+                by_id.setdefault(r["doc_id"], set()).add(str(r))
+        assert all(len(v) == 1 for v in by_id.values())
+    pieces = packing.pack_documents(twice, tokenizer_path()).collect()
+    assert sum(r["start"] == 0 for r in pieces) == n
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+
+
 def test_toxicity(documents, labels, corpus, empty):
     rows = toxicity.classify(documents, labels).collect()
     truth = {r[0]: r[4] for r in corpus}
