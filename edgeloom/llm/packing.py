@@ -1,7 +1,7 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are tokenised and cut into whole sequences and one remainder each.  Remainders
-are dealt at random (by a hash) to groups of about GROUP documents; each group packs its
+Documents are tokenised and cut into whole sequences, which are done, and one remainder each.
+Remainders are dealt at random (by a hash) to groups of about GROUP documents; each group packs its
 own by first-fit decreasing, so groups are independent and any number of them run at once.
 The tree's leaves hold the bins' free space and every inner node the larger of its two
 children, so the first bin with room is found in log2(bins) steps.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import SPACED, Batch, ragged, release, slices
+from edgeloom.llm.frames import cut
 
 LENGTH = 2048
 END_ID = 1
@@ -199,13 +200,20 @@ def pack_group(rows: pa.Table, length: int = LENGTH) -> pa.Table:
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, group: int = GROUP, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
-    groups = max(1, -(-documents.count() // group))
-    dealt = pieces(documents, tokenizer_path, length).withColumn("g", F.pmod(F.xxhash64("salt", F.lit(31)), F.lit(groups)))
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
+
+    A piece that fills a sequence is one already and isn't shuffled, so a group holds at the
+    most one piece of a document however long that is.
+    """
+    cutout = cut(pieces(documents, tokenizer_path, length))
+    whole, rest = cutout.where(F.col("length") == length), cutout.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
+    dealt = rest.withColumn("g", F.pmod(F.xxhash64("salt", F.lit(31)), F.lit(groups)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         out = pack_group(rows, length)
         shifted = pc.add(out.column("sequence_id"), pa.scalar(key[0].as_py() << 32, pa.int64()))
         return out.set_column(5, "sequence_id", shifted)
 
-    return dealt.groupBy("g").applyInArrow(run, PACKED)
+    full = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.groupBy("g").applyInArrow(run, PACKED).unionByName(full)
