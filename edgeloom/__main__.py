@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-i", "--initial", default="m", help="m(ax), z(ero), u(niform) or a number")
     p.add_argument("-o", "--output", help="folder for the weighted edges")
     p.add_argument("--check", action="store_true", help="look for negative cycles before and after")
+    p.add_argument("--bftest", action="store_true", help="make every decision again by a search on plain weights")
     p.add_argument("-a", "--algorithm", default="bd", help="d(ijkstra), bf or bd")
     p.add_argument("--scc", action="store_true", help="keep the largest strongly connected component")
     p.add_argument("--chains", type=int, default=1)
@@ -93,7 +94,7 @@ def main(argv: list[str] | None = None) -> None:
         g = structure.largest_scc(g)
     if o.check and traverse.has_negative_cycle(g):
         sys.exit("there is a negative cycle to begin with")
-    out = sampling.sample_weights(g, o.min_weight, o.max_weight, o.rounds, parse_algorithm(o.algorithm), o.chains, o.seed).cache()
+    out = sampling.sample_weights(g, o.min_weight, o.max_weight, o.rounds, parse_algorithm(o.algorithm), o.chains, o.seed, bftest=o.bftest).cache()
     if o.check:
         for k in range(o.chains):
             if traverse.has_negative_cycle(Graph(out.where(F.col("chain") == k).select("eid", "src", "dst", "w"), g.nodes)):

@@ -91,6 +91,11 @@ class Chain:
                         self.insertions += 1
         return False
 
+    def is_legal(self, i: int, w: float) -> bool:
+        """Whether edge i may weigh w, by a search on plain weights that looks at no potential."""
+        u, v = self.ends[i]
+        return w >= 0 if u == v else w >= self.w[i] or not self.path_below(v, u, -w)
+
     def labels_within(self, source: int, target: int, bound: float) -> dict[int, float] | None:
         """Reduced distances up to bound from source; None if the target is closer than that."""
         best, done, heap = {source: self.zero}, {}, [(self.zero, source)]
@@ -235,7 +240,7 @@ TRACE = "chain long, step long, eid long, w_new double, kind string, insertions
 FINAL = "chain long, eid long, src long, dst long, w double, phi_src double, phi_dst double"
 
 
-def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want: str, interval: int | None) -> Callable[[tuple, Iterator[pd.DataFrame]], pd.DataFrame]:
+def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want: str, interval: int | None, bftest: bool = False) -> Callable[[tuple, Iterator[pd.DataFrame]], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("eid")
         integral = proposals.integral
@@ -254,7 +259,10 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
                 clock = now
             i, w = proposals(name, t, m)
             before = chain.w[i]
+            legal = bftest and chain.is_legal(i, w)
             ok, searched = step(i, w)
+            if bftest and ok != legal:
+                raise AssertionError(f"chain {name}, step {t}: {algorithm} {'accepted' if ok else 'rejected'} against the search on plain weights")
             if ok:
                 total += w - before
                 negative += (w < 0) - (before < 0)
@@ -273,7 +281,7 @@ def _kernel(algorithm: str, proposals: Proposals, rounds_per_edge: float, want:
     return run
 
 
-def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, want: str = "final", interval: int = 10_000) -> DataFrame:
+def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, want: str = "final", interval: int = 10_000, bftest: bool = False) -> DataFrame:
     """What the chains give: want 'final' (edges with both ends' potentials), 'trace' (every step), 'intervals' or 'apsp'.
 
     'intervals' gives the average weight, the share of negative edges and the milliseconds of every
@@ -291,19 +299,22 @@ def run_chains(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: floa
         raise ValueError(f"a chain holds its graph in one task, {MOST_EDGES} edges at the most")
     integral = dict(g.edges.dtypes)["w"] not in ("double", "float")
     copies = g.edges.withColumn("chain", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chains - 1).cast("long"))))
-    kernel = _kernel(algorithm, Proposals(seed, low, high, integral), rounds_per_edge, want, interval)
+    kernel = _kernel(algorithm, Proposals(seed, low, high, integral), rounds_per_edge, want, interval, bftest)
     schema = {"trace": TRACE, "final": FINAL, "intervals": "chain long, round long, avg double, frac double, time long, algo string", "apsp": "chain long, round long, mean double, max double, reached long"}[want]
     return copies.groupBy("chain").applyInPandas(kernel, schema)
 
 
-def sample_weights(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, check: bool = False) -> DataFrame:
-    """chain, eid, src, dst and w after ceil(m * rounds_per_edge) steps; check: no negative cycle before and after."""
+def sample_weights(g: Graph, low: float = -1, high: float = 1, rounds_per_edge: float = 1.0, algorithm: str = "bd", chains: int = 1, seed: int = 1, check: bool = False, bftest: bool = False) -> DataFrame:
+    """chain, eid, src, dst and w after ceil(m * rounds_per_edge) steps.
+
+    check: no negative cycle before and after; bftest: every decision is made again on plain weights.
+    """
     from edgeloom.operators.traverse import has_negative_cycle
     from edgeloom.plans.lineage import cut
 
     if check and has_negative_cycle(g):
         raise ValueError("the graph starts with a negative cycle")
-    out = run_chains(g, low, high, rounds_per_edge, algorithm, chains, seed)
+    out = run_chains(g, low, high, rounds_per_edge, algorithm, chains, seed, bftest=bftest)
     if check:
         out = cut(out)  # else every step of the checks would run the chains again
         for c in range(chains):

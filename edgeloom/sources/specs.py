@@ -137,15 +137,25 @@ def expected_degree(n: int, radius: float, alpha: float) -> float:
     return 2 / math.pi * xi**2 * n * (bulk + edge)
 
 
-def target_radius(n: int, degree: float, alpha: float, tolerance: float = 1e-5, steps: int = 200) -> float:
-    """The radius at which expected_degree() is the degree wanted, by bisection."""
-    gamma = 2 * alpha + 1
-    start = 2 * math.log(n / (degree * math.pi / 2 * ((gamma - 2) / (gamma - 1)) ** 2))
-    low, high = start / 2, start * 2
-    for _ in range(steps):
-        middle = (low + high) / 2
-        got = expected_degree(n, middle, alpha)
-        if abs(got - degree) < tolerance:
-            return middle
-        low, high = (middle, high) if got > degree else (low, middle)
-    raise ValueError("no radius gives this degree")
+def target_radius(n: int, degree: float, alpha: float, precision: float = 1e-13) -> float:
+    """The radius at which expected_degree() is the degree wanted.
+
+    From 2 ln(n), the scale on which degrees are constant, the ends walk outwards by one until
+    the degree lies between theirs; the gap is then halved until it is relatively small.
+    """
+    inner = outer = 2 * math.log(max(n, 2))
+    while expected_degree(n, inner, alpha) < degree:
+        inner -= 1
+        if inner <= 0:
+            raise ValueError("no radius gives this degree")
+    while expected_degree(n, outer, alpha) > degree:
+        outer += 1
+    while outer - inner > precision * outer:
+        middle = (inner + outer) / 2
+        if middle in (inner, outer):
+            break
+        if expected_degree(n, middle, alpha) > degree:
+            inner = middle
+        else:
+            outer = middle
+    return (inner + outer) / 2

@@ -168,7 +168,7 @@ def test_command_line(tmp_path, spark):
     from edgeloom.__main__ import main
 
     out = str(tmp_path / "w")
-    main(["-w", "-5", "-W", "5", "-t", "i32", "-r", "2", "-s", "3", "-i", "z", "-o", out, "--check", "-a", "dijkstra", "--scc", "complete", "-n", "6"])
+    main(["-w", "-5", "-W", "5", "-t", "i32", "-r", "2", "-s", "3", "-i", "z", "-o", out, "--check", "--bftest", "-a", "dijkstra", "--scc", "complete", "-n", "6"])
     rows = spark.read.csv(out).collect()
     assert len(rows) == 30 and all(abs(int(float(r[2]))) <= 5 for r in rows)
     main(["cover", "-n", "3", "-m", "2", "-k", "1", "-r", "1", "-e"])
