@@ -116,6 +116,11 @@ def uniform_states(spark: SparkSession, n: int, low: int, high: int, runs: int,
     return drawn.join(place, "place").select("run", "enc")
 
 
+def legal(states: DataFrame, valid: DataFrame) -> DataFrame:
+    """The states (..., enc) that are legal."""
+    return states.join(valid.select("enc"), "enc", "left_semi")
+
+
 def histogram(states: DataFrame) -> DataFrame:
     return states.groupBy("enc").agg(F.count("*").alias("cnt"))
 

@@ -15,6 +15,11 @@ def intervals(trace: DataFrame, every: int) -> DataFrame:
     return marked.where(F.col("step") % every == 0).select("chain", F.expr(f"step div {every}").alias("round"), "rate")
 
 
+def step_times(rows: DataFrame, every: int = 10_000) -> DataFrame:
+    """Interval telemetry with step (rounds in steps) and us_per_step (from the milliseconds of an interval)."""
+    return rows.withColumn("step", F.col("round") * every).withColumn("us_per_step", F.col("time") * 1000 / every)
+
+
 def window_end(step: Column) -> Column:
     """The step at which the log window that holds `step` is written.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,10 @@ from edgeloom.functions.prng import duckdb_draw, duckdb_unit
 from edgeloom.functions.weights import Initial
 from edgeloom.graph import Graph, index_edges, undirected
 from edgeloom.operators import cycle, sampling, structure, telemetry, traverse
+from edgeloom.plans.lineage import shared_folder
 from edgeloom.sources import edgelist, generators
+from edgeloom.sources import telemetry as tables
+from edgeloom.sources import specs
 from edgeloom.sources.specs import Hyperbolic, scale_free_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +73,10 @@ def sparse(spark: SparkSession, sf_dir: str, name: str) -> Graph:
     return Graph(edges, edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("phi", F.lit(0).cast("bigint")))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _source(g: Graph) -> int:
     return g.nodes.agg(F.min("v")).first()[0] or 0
 
@@ -185,12 +193,8 @@ _one("potential_lookup", "SELECT DISTINCT src AS v, (src * 31) % 50 AS phi FROM
 @query(f"WITH {_edges_sql('nation')} SELECT src, dst FROM g")
 def edgelist_read(spark, sf_dir):
     """A graph written as an edge list and read back: header, comment and all."""
-    import uuid
-
-    from edgeloom.plans.lineage import shared_folder
-
     edges = weighted(spark, sf_dir, "nation").edges
-    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    path = _scratch(spark, "edges")
     size = edges.agg(F.count("*").alias("m"), F.greatest(F.max("src"), F.max("dst")).alias("v")).first()
     head = spark.createDataFrame([(0, f"% from tables\np {size['v'] + 1} {size['m']}")], "k int, line string")
     lines = edges.select(F.lit(1).alias("k"), F.concat_ws(",", "src", "dst").alias("line")).unionByName(head)
@@ -198,9 +202,32 @@ def edgelist_read(spark, sf_dir):
     return edgelist.read(spark, path)[0].select("src", "dst")
 
 
+@query(f"WITH {_edges_sql('cust')} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS place, src, dst, w FROM g")
+def weighted_edges_written(spark, sf_dir):
+    """Edges written as lines in order of their ends, and the lines read back in the order of the files."""
+    path = _scratch(spark, "weighted")
+    edgelist.write(weighted(spark, sf_dir, "cust").edges, path)
+    lines = spark.read.schema("s BIGINT, d BIGINT, w BIGINT").csv(path)
+    lines = lines.select(F.col("_metadata.file_name").alias("src"), F.monotonically_increasing_id().alias("dst"), "s", "d", "w")
+    return index_edges(lines).select(F.col("eid").alias("place"), F.col("s").alias("src"), F.col("d").alias("dst"), "w")
+
+
+@query(f"WITH {_edges_sql('cust')}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM g) SELECT eid, {duckdb_unit(7, 0, 'eid', 3)} * 100.0 AS w FROM e")
+def initial_weights_float(spark, sf_dir):
+    from edgeloom.functions.weights import initial_weight
+
+    return indexed(spark, sf_dir, "cust").edges.withColumn("w", initial_weight(Initial("u"), 100, False, 7)).select("eid", "w")
+
+
 # Generators and sources
 
 
+@query("SELECT * FROM (VALUES ('cycle', 1.0::DOUBLE), ('complete', 4.0), ('loops', 5.0), ('gnp', 3.5), ('scale-free', 2.5), ('hyperbolic', 8.0), ('unnamed', 0.0)) t(source, degree)")
+def nominal_degrees(spark, sf_dir):
+    found = {"cycle": specs.Cycle(9), "complete": specs.Complete(5), "loops": specs.Complete(5, True), "gnp": specs.Gnp(50, 3.5), "scale-free": specs.ScaleFree(50, degree=2.5), "hyperbolic": specs.Hyperbolic(50, 1.0, degree=8.0), "unnamed": specs.ScaleFree(50, 0.2, 0.5)}
+    return spark.createDataFrame([(k, specs.nominal_degree(v)) for k, v in found.items()], "source string, degree double")
+
+
 @query("SELECT i AS src, (i + 1) % 5000 AS dst FROM range(5000) t(i)")
 def gen_cycle(spark, sf_dir):
     return generators.cycle(spark, 5000)
@@ -372,6 +399,14 @@ def fixture_apsp(spark, sf_dir):
     return traverse.apsp(Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5))
 
 
+@query("WITH RECURSIVE g(src, dst, w) AS (VALUES " + ", ".join(f"(CAST({a} AS BIGINT), CAST({b} AS BIGINT), CAST({w} AS BIGINT))" for a, b, w in _GOLDEN) + "), nodes AS (SELECT src AS v FROM g UNION SELECT dst FROM g)" + _APSP + ", q AS (SELECT * FROM (VALUES (0, 3, -3), (0, 3, -2), (1, 2, 2)) t(source, target, bound)) SELECT q.source, q.target, CAST(bound AS BIGINT) AS bound, dist < bound AS shorter FROM q JOIN d ON d.s = q.source AND d.v = q.target")
+def shorter_paths(spark, sf_dir):
+    """Searches that end at a bound: is there a shorter path?"""
+    g = Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5)
+    asked = [(0, 3, -3), (0, 3, -2), (1, 2, 2)]
+    return spark.createDataFrame([(*q, traverse.shorter_path(g, *q)) for q in asked], "source int, target int, bound long, shorter boolean")
+
+
 _REACH = ", r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src), both_ways AS (SELECT x.a, min(x.b) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), l AS (SELECT nodes.v, least(nodes.v, coalesce(low, nodes.v)) AS scc FROM nodes LEFT JOIN both_ways ON a = v)"
 _LABELS = f"WITH RECURSIVE {_edges_sql('user', where=SPARSE)}{_REACH} SELECT v, scc FROM l"
 _LARGEST = f"WITH RECURSIVE {_edges_sql('user', where=SPARSE)}{_REACH}, big AS (SELECT scc FROM l GROUP BY scc ORDER BY count(*) DESC, scc LIMIT 1), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS new FROM l WHERE scc = (SELECT scc FROM big)) SELECT row_number() OVER (ORDER BY a.new, b.new) - 1 AS eid, a.new AS src, b.new AS dst, w FROM g JOIN k a ON a.v = src JOIN k b ON b.v = dst"
@@ -452,6 +487,13 @@ def cover_freq_of_freq(spark, sf_dir):
     return cycle.frequency_of_frequencies(_cover(spark), cycle.valid_states(spark, 4))
 
 
+@query("SELECT o_orderkey AS run, o_orderkey % 81 AS enc FROM orders WHERE o_orderkey % 81 % 3 + o_orderkey % 81 // 3 % 3 + o_orderkey % 81 // 9 % 3 + o_orderkey % 81 // 27 % 3 >= 4")
+def legal_members(spark, sf_dir):
+    """Of any states those that are legal."""
+    states = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 81).alias("enc"))
+    return cycle.legal(states, cycle.valid_states(spark, 4))
+
+
 @query(f"{_COVER}, f AS (SELECT enc, min(run) AS run FROM s GROUP BY enc), r AS (SELECT run, row_number() OVER (ORDER BY run) AS seen FROM f) SELECT min(run) AS completion_run FROM r WHERE seen = (SELECT count(*) - count(*) // 4 FROM valid)")
 def cover_completion(spark, sf_dir):
     valid = cycle.valid_states(spark, 4).count()
@@ -544,11 +586,26 @@ def mcmc_searches(spark, sf_dir):
     return telemetry.insertions(_golden_chains(spark, "bf")).groupBy("acc").agg(F.count("*").alias("n"))
 
 
-@query(f"{_MCMC} SELECT chain, (step + 1) // 50 AS round, round(list_sum(weights) / {len(_GOLDEN)}, 9) AS avg, round(len(list_filter(weights, lambda x: x < 0)) / {len(_GOLDEN)}, 9) AS frac, 'bd' AS algo FROM m WHERE step % 50 = 49")
-def mcmc_intervals(spark, sf_dir):
+_INTERVALS = f"{_MCMC} SELECT chain, (step + 1) // 50 AS round, round(list_sum(weights) / {len(_GOLDEN)}, 9) AS avg, round(len(list_filter(weights, lambda x: x < 0)) / {len(_GOLDEN)}, 9) AS frac, 'bd' AS algo FROM m WHERE step % 50 = 49"
+
+
+def _interval_rows(spark: SparkSession) -> DataFrame:
     g = Graph.of(spark.createDataFrame(_GOLDEN, "src long, dst long, w long"), 5)
     rows = sampling.run_chains(g, _LOW, _HIGH, _STEPS / len(_GOLDEN), "bd", _CHAINS, _SEED, "intervals", 50)
-    return rows.select("chain", "round", F.round("avg", 9).alias("avg"), F.round("frac", 9).alias("frac"), "algo")
+    return rows.withColumn("avg", F.round("avg", 9)).withColumn("frac", F.round("frac", 9))
+
+
+@query(_INTERVALS)
+def mcmc_intervals(spark, sf_dir):
+    return _interval_rows(spark).select("chain", "round", "avg", "frac", "algo")
+
+
+@query(f"SELECT round, avg, frac, algo FROM ({_INTERVALS})")
+def telemetry_roundtrip(spark, sf_dir):
+    """Interval telemetry written to the shared folder and read back."""
+    path = _scratch(spark, "intervals")
+    tables.write(_interval_rows(spark), "intervals", path)
+    return tables.read(spark, "intervals", path).where("time >= 0").select("round", "avg", "frac", "algo")
 
 
 def _chains(spark: SparkSession, sf_dir: str, algorithm: str, want: str) -> DataFrame:
@@ -558,15 +615,17 @@ def _chains(spark: SparkSession, sf_dir: str, algorithm: str, want: str) -> Data
 
 def _stats(algorithm: str) -> Query:
     def run(spark, sf_dir):
-        rows = _chains(spark, sf_dir, algorithm, "final")
-        return rows.groupBy("chain").agg(F.count("*").alias("m"), F.avg("w").alias("avg_weight"), F.avg((F.col("w") < 0).cast("double")).alias("frac_negative"), F.max(F.when(F.col("w") + F.col("phi_dst") - F.col("phi_src") < 0, 1).otherwise(0)).alias("violated"))
+        rows = _golden_chains(spark, algorithm, "final")
+        violated = [F.max(F.when(F.col("w") + F.col("phi_dst") - F.col("phi_src") < 0, 1).otherwise(0)).alias("violated")] if algorithm != "bf" else []
+        return rows.groupBy("chain").agg(F.count("*").alias("m"), F.round(F.avg("w"), 9).alias("avg_weight"), F.avg((F.col("w") < 0).cast("double")).alias("frac_negative"), *violated)
 
     run.__name__ = f"mcmc_stats_{algorithm}"
     return run
 
 
 for _algorithm in sampling.ALGORITHMS:
-    query()(_stats(_algorithm))
+    _violated = ", CAST(0 AS INTEGER) AS violated" if _algorithm != "bf" else ""
+    query(f"{_MCMC} SELECT chain, CAST({len(_GOLDEN)} AS BIGINT) AS m, round(list_sum(weights) / {len(_GOLDEN)}, 9) AS avg_weight, len(list_filter(weights, lambda x: x < 0)) / {len(_GOLDEN)} AS frac_negative{_violated} FROM m WHERE step = {_STEPS}")(_stats(_algorithm))
 
 
 @query("SELECT CAST(i AS BIGINT) AS chain, CAST(0 AS BIGINT) AS differing FROM range(4) t(i)")
@@ -609,6 +668,12 @@ def insertions_quantiles(spark, sf_dir):
     return counts.join(telemetry.quartiles(rows, "insertions", ["algo", "acc"]), ["algo", "acc"])
 
 
+@query("SELECT event_id % 300 + 1 AS round, event_id * 31 % 97 AS time, (event_id % 300 + 1) * 10000 AS step, event_id * 31 % 97 / 10 AS us_per_step FROM events")
+def step_times(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 300 + 1).alias("round"), (F.col("event_id") * 31 % 97).alias("time"))
+    return telemetry.step_times(rows)
+
+
 @query(f"{_TRACE} SELECT chain, step, algo FROM t QUALIFY count(*) OVER (PARTITION BY step, algo) > 9")
 def group_size_filter(spark, sf_dir):
     return telemetry.min_group_size(trace(spark, sf_dir), ["step", "algo"]).select("chain", "step", "algo")
