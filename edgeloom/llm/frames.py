@@ -73,15 +73,20 @@ def taught(documents: DataFrame, known: DataFrame, most_bytes: int = 96_000_000)
     """
     text = F.coalesce("text", F.lit(""))
     few = documents.select("doc_id", text.alias("text")).where(F.octet_length("text") <= most_bytes // 8).join(F.broadcast(known), "doc_id")
-    one = cut(few.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).repartition(8))
-    size = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return within(few.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).repartition(8), most_bytes)
+
+
+def within(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows (doc_id, text, ...), cut; if their texts are longer than `most_bytes` in all, a share by the hash of the ids.  For fitting only."""
+    rows = cut(rows)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > most_bytes:
-        one = one.where(F.pmod(F.xxhash64(F.lit(311), "doc_id"), F.lit(1 << 31)) < int(most_bytes / size * (1 << 31)))
-    return one
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(311), "doc_id"), F.lit(1 << 31)) < int(most_bytes / size * (1 << 31)))
+    return rows
 
 
 def span_digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
-__all__ = ["bounded", "cut", "fresh_name", "id_crc", "map_texts", "quoted", "span_digest", "table", "taught", "text_md5"]
+__all__ = ["bounded", "cut", "fresh_name", "id_crc", "map_texts", "quoted", "span_digest", "table", "taught", "text_md5", "within"]

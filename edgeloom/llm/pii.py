@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.arrays import Batch
-from edgeloom.llm.frames import bounded, map_texts
+from edgeloom.llm.frames import bounded, map_texts, within
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("none", *KINDS)
@@ -373,6 +373,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([texts[i] for i in keep], pa.string())], ["doc_id", "text"])
 
     rows = map_texts(few, around, "doc_id long, text string").where(F.octet_length("text") <= 1_000_000).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = within(rows, 32_000_000)  # a text for each id, bounded in rows and bytes
     return fit_texts([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
 
 
