@@ -92,7 +92,7 @@ class Node:
     features: list[int]
 
 
-FEATURES = ["bias", "at", "at dotted", "at spelt", "spelt dotted", "dots 3", "parts small", "quad", "digits 7-8", "digits 9-11", "digits 12-19", "digits 20+", "luhn", "plus", "bracket", "separated", "grouped 4", "word before mail", "word before call", "word before card", "word before address"]
+FEATURES = ["bias", "at", "at dotted", "at spelt", "spelt dotted", "dots 3", "parts small", "quad", "digits 7-8", "digits 9-11", "digits 12-19", "digits 20+", "luhn", "luhn fails", "plus", "bracket", "separated", "grouped 4", "word before mail", "word before call", "word before card", "word before address"]
 _PLACE = {x: i for i, x in enumerate(FEATURES)}
 #: Fixed cue words, lower case.
 CUES = {"word before mail": ("email", "e-mail", "mail", "contact", "courriel", "correo"), "word before call": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"), "word before card": ("card", "visa", "account", "karte", "carte", "tarjeta"), "word before address": ("ip", "host", "server", "address")}
@@ -105,6 +105,21 @@ def _quad(s: str) -> str | None:
     return ".".join(str(int(p)) for p in parts) if len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) else None
 
 
+def _parted(run: str, at: int) -> list[tuple[int, int]]:
+    """A run of numbers as one candidate; if it has too many digits for any kind, as those between its blanks: whole ones alone, others together."""
+    if len(_digits(run)) <= 19:
+        return [(at, at + len(run))]
+    out, open_ = [], False
+    for m in re.finditer(r"[^\x20]+", run):
+        span, alone = (at + m.start(), at + m.end()), len(_digits(m[0])) >= 9 or bool(_quad(m[0]))
+        if open_ and not alone:
+            out[-1] = (out[-1][0], span[1])
+        else:
+            out.append(span)
+        open_ = not alone
+    return out
+
+
 def nodes(text: str) -> list[Node]:
     """The candidates of a text in order; address-like runs come before the numbers in them."""
     spans = [(m.start(), m.end(), True) for m in MAIL_LIKE.finditer(text)] if "@" in text or "[at]" in text or "(at)" in text or "AT" in text else []
@@ -113,8 +128,10 @@ def nodes(text: str) -> list[Node]:
     for m in NUMBER.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if (len(_digits(m[0])) >= 7 or len(m[0]) >= 7 and " " not in m[0] and _quad(m[0])) and not (k < len(taken) and taken[k][0] < m.end()):
-            spans.append((*m.span(), False))
+        for a, b in _parted(m[0], m.start()):
+            s = text[a:b]
+            if (len(_digits(s)) >= 7 or b - a >= 7 and " " not in s and _quad(s)) and not (k < len(taken) and taken[k][0] < b):
+                spans.append((a, b, False))
     out = []
     for a, b, mail in sorted(spans):
         s = text[a:b]
@@ -136,7 +153,7 @@ def nodes(text: str) -> list[Node]:
             f += ["dots 3"] * (len(parts) == 4) + ["parts small"] * (len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts))
             f += ["quad"] * bool(quad)
             f.append("digits 7-8" if n < 9 else "digits 9-11" if n < 12 else "digits 12-19" if n < 20 else "digits 20+")
-            f += ["luhn"] * (12 <= n <= 19 and luhn(d)) + ["plus"] * (s[0] == "+") + ["bracket"] * ("(" in s) + ["separated"] * (s != d) + ["grouped 4"] * bool(re.search(r"[0-9]{4}[ -][0-9]{4}", s))
+            f += ["luhn" if luhn(d) else "luhn fails"] * (12 <= n <= 19) + ["plus"] * (s[0] == "+") + ["bracket"] * ("(" in s) + ["separated"] * (s != d) + ["grouped 4"] * bool(re.search(r"[0-9]{4}[ -][0-9]{4}", s))
         before = text[max(0, a - 24) : a].lower().replace(":", " ").split()
         codes = [_PLACE[x] for x in f] + sorted({_CUE[w] for w in before[-2:] if w in _CUE})
         out.append(Node(a, b, s, keys, codes))
@@ -250,9 +267,10 @@ def _nothing(rng: np.random.Generator) -> str:
     kind = KINDS[rng.integers(4)]
     if kind == "email":
         return ["look [at] this", "meet (at) noon", "x@", "home (at) last"][rng.integers(4)]
-    if rng.random() < 0.5:
+    if kind != "card" and rng.random() < 0.5:
         return loosened(rng, kind, _entity(rng, kind))
-    return "".join(rng.choice(list("123456789"), int(rng.integers(7, 18))))
+    d = "".join(rng.choice(list("123456789"), 16 if rng.random() < 0.5 else int(rng.integers(7, 18))))
+    return d if len(d) < 12 or not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
 
 
 def _examples(rng: np.random.Generator, texts: list[str], n: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -277,12 +295,13 @@ def _examples(rng: np.random.Generator, texts: list[str], n: int) -> list[tuple[
             text = t + filler[rng.integers(len(filler))]
             out.append((text + part, [(kind, len(text), len(text) + len(part))]))
     for _ in range(n):
-        parts: list[tuple[str, str | None]] = [(_nothing(rng), None) for _ in range(int(rng.integers(0, 3)))]
-        for _ in range(int(rng.integers(1, 4))):
+        parts: list[tuple[str, str | None]] = [(x, None) for _ in range(int(rng.integers(0, 3))) for x in [_nothing(rng)] * int(rng.integers(1, 4))]
+        for _ in range(int(rng.integers(0, 4))):
             kind = KINDS[rng.integers(4)]
             mention = _entity(rng, kind)
             parts += [(mention, None)] + [(loosened(rng, kind, mention), kind)] * bool(rng.random() < 0.6)
-        put([parts[i] for i in rng.permutation(len(parts))])
+        if parts:
+            put([parts[i] for i in rng.permutation(len(parts))])
     return out
 
 
@@ -309,11 +328,13 @@ def fit_texts(texts: list[str], seed: int = 7, steps: int = 300, rate: float = 0
         n += len(found)
     u, y = np.concatenate(u), np.concatenate(y)
     source, target, kind = (np.array(x, np.int64) for x in (source, target, kind))
+    proofs = [_PLACE["luhn"], _PLACE["luhn fails"]]
     m = Model(np.zeros((len(FEATURES), len(STATES))), np.zeros((2, len(STATES), len(STATES))))
     one_hot = np.eye(len(STATES))[y]
     speed_u, speed_p = np.zeros_like(m.unary), np.zeros_like(m.pair)
     for _ in range(steps):
         keep = (rng.random(u.shape) > drop).astype(float)
+        keep[:, proofs] = 1  # what says no for certain is always there
         x = u * keep
         tables = np.concatenate([m.pair, m.pair.transpose(0, 2, 1)])  # forwards, backwards
         logit = x @ m.unary
