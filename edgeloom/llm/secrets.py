@@ -78,17 +78,21 @@ Places = np.ndarray | int  # for each item, or one for all of them
 
 @dataclass
 class Layer:
-    """A text and, for each character, the span [lo, hi) of the original text that it comes from."""
+    """A text and, for each character, the span [lo, hi) of the original text that it comes from; None for the original itself."""
 
     text: str
-    lo: Places
-    hi: Places
+    lo: Places | None = None
+    hi: Places | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.lo is None:
+            return a, b
         return (self.lo, self.hi) if isinstance(self.lo, int) else (int(self.lo[a]), int(self.hi[b - 1]))
 
     def below(self, text: str, start: Places, end: Places) -> Layer:
         """A layer whose characters come from [start, end) of this one's."""
+        if self.lo is None:
+            return Layer(text, start, end)
         if isinstance(self.lo, int):
             return Layer(text, self.lo, self.hi)
         if isinstance(start, int):
@@ -326,7 +330,7 @@ def scan(text: str, most: int = MOST_INFLATED) -> tuple[list[tuple[str, int, int
     """(base spans, all spans) of one text; both sorted by start, then kind."""
     base = base_matches(text)
     spans, seen, budget = set(base), set(), Budget(most)
-    work = deque([Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))])
+    work = deque([Layer(text)])
     while work:
         layer = work.popleft()
         if layer.text != text:
