@@ -162,9 +162,14 @@ def _read(p: dict[str, np.ndarray], table: dict[str, np.ndarray], g: np.ndarray,
     return pooled @ p["out"] + p["bias"][0], {"states": states, "memo": kept, "weight": weight, "pooled": pooled}
 
 
-def logits(m: Model, words: Words, g: np.ndarray, block: int = 4096) -> np.ndarray:
+def _tables(m: Model, words: Words) -> dict[str, np.ndarray]:
+    """What each distinct word adds to the gates of both directions."""
     x = words.inputs(m.p)
-    table = {s: x @ m.p[f"W{s}"] + m.p[f"c{s}"] for s in SIDES}
+    return {s: x @ m.p[f"W{s}"] + m.p[f"c{s}"] for s in SIDES}
+
+
+def logits(m: Model, words: Words, g: np.ndarray, block: int = 4096, table: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    table = table or _tables(m, words)
     out = np.empty(len(g), np.float32)
     for a in range(0, len(g), block):
         part = np.ascontiguousarray(g[a : a + block].T)
@@ -302,7 +307,10 @@ def score_batch(m: Model, batch: Batch) -> np.ndarray:
         return np.full(batch.n, m.constant)
     words = Words(batch, m.vocabulary)
     doc, first, length = windows(words.counts)
-    value = logits(m, words, words.grid(doc, first, length))
+    table, value = _tables(m, words), np.empty(len(doc), np.float32)
+    for a in range(0, len(doc), 32_768):  # a very long text has very many windows
+        some = slice(a, a + 32_768)
+        value[some] = logits(m, words, words.grid(doc[some], first[some], length[some]), table=table)
     begin = np.searchsorted(doc, np.arange(batch.n))
     top = np.maximum.reduceat(value, begin) if batch.n else value
     return 1 / (1 + np.exp(-np.clip(m.slope * top.astype(np.float64) + m.shift, -40, 40)))
