@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +36,14 @@ def cut(df: DataFrame, bare: bool = False, dealt: list[str] | None = None) -> Da
     out = df.checkpoint(eager=True)
     if not bare and dealt is None:
         return out
+    try:
+        return _rebuilt(out, dealt)
+    except Py4JError:  # another release may build its plans otherwise; then it is only slower
+        return out
+
+
+def _rebuilt(out: DataFrame, dealt: list[str] | None) -> DataFrame:
+    spark = out.sparkSession
     plan, jvm = out._jdf.queryExecution().logical(), spark._jvm
     physical = jvm.org.apache.spark.sql.catalyst.plans.physical
     parts = plan.rdd().getNumPartitions()
