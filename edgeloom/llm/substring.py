@@ -28,7 +28,6 @@ import hashlib
 import json
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +98,24 @@ def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(_widened(deltas), dtype=np.uint64), _widened(checks), *more
 
 
+def _places(row: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where windows start: the documents that occur, by their rows in the slice and ids, and for each window which and where.
+
+    A blob carries only the documents it needs, so its size follows its windows however many ranges there are.
+    """
+    some, which = np.unique(row, return_inverse=True)
+    known = ids[some].view(np.uint64)
+    base = ids[some].min(keepdims=True)
+    return _narrow(which), _narrow(start), _narrow(np.diff(some, prepend=0)), base, _narrow(known - base.view(np.uint64))
+
+
+def _read_places(which: np.ndarray, start: np.ndarray, steps: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row in the slice, first word within it, id) of each window."""
+    at = _widened(which).astype(np.int64)
+    ids = (_widened(known) + base.view(np.uint64)).view(np.int64)
+    return np.cumsum(_widened(steps).astype(np.int64))[at], _widened(start).astype(np.int64), ids[at]
+
+
 def _cuts(ranges: int) -> np.ndarray:
     """The first keys of the ranges but the first."""
     return np.array([-(-(r << KEY_BITS) // ranges) for r in range(1, ranges)], np.uint64)
@@ -151,11 +168,12 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
                 keys, checks, at = keys[send], checks[send], at[send]
                 digests = b"".join(_whole(found.data[a:b].tobytes()) for a, b in zip(found.offsets, found.offsets[1:]))
                 rows = [(int(name % ranges), name, 0, _pack(ids, counts, local, np.frombuffer(digests, np.uint8)))]
-                table = zlib.compress(_pack(np.diff(ids, prepend=0), counts), 1)
+                row = doc[at]
+                start = at - begin[row]
                 edges = np.searchsorted(keys, cuts).tolist()
                 for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(keys)])):
                     if b > a:
-                        rows.append((r, name, 1, _sorted_blob(keys[a:b], checks[a:b], _narrow(at[a:b]), np.frombuffer(table, np.uint8))))
+                        rows.append((r, name, 1, _sorted_blob(keys[a:b], checks[a:b], *_places(row[a:b], start[a:b], ids))))
                 name += 1
                 for k in range(0, len(rows), 64):
                     part = list(zip(*rows[k : k + 64]))
@@ -169,17 +187,14 @@ def _merge(runs: list[tuple[int, bytes]], history: list[bytes]) -> tuple[dict[in
     """(for each slice, the first words of the windows that were met before; the run of what is new)."""
     keys, checks, ids, starts, slice_, refs = [], [], [], [], [], []
     for name, blob in runs:
-        key, check, ref, table = _read_blob(blob)
-        ref = _widened(ref).astype(np.int64)
-        step, counts = _unpack(zlib.decompress(table.tobytes()))
-        begin = np.cumsum(counts) - counts
-        doc = np.searchsorted(begin + counts, ref, "right")  # documents without words are passed over
+        key, check, *places = _read_blob(blob)
+        row, start, id_ = _read_places(*places)
         keys.append(key)
         checks.append(check)
-        ids.append(np.cumsum(step)[doc])
-        starts.append(ref - begin[doc])
-        slice_.append(np.full(len(ref), name))
-        refs.append(ref)
+        ids.append(id_)
+        starts.append(start)
+        slice_.append(np.full(len(key), name))
+        refs.append(row << 32 | start)
     if not runs:
         return {}, None
     known = [_read_blob(b) for b in history]
@@ -240,7 +255,7 @@ def _merged(runs: DataFrame, history: DataFrame | None) -> DataFrame:
                 new.append((name, blob))
         found, run = _merge(new, old)
         r = table.column("r")[0].as_py() if table.num_rows else 0
-        out += [(r, name, 1, _pack(ref)) for name, ref in found.items()]
+        out += [(r, name, 1, _pack((ref >> 32).astype(np.uint32), (ref & 0xFFFFFFFF).astype(np.uint32))) for name, ref in found.items()]
         return _table(out + ([(r, 0, 2, run)] if run else []))
 
     if history is None:
@@ -259,15 +274,14 @@ def _intervals(reports: DataFrame, window: int) -> DataFrame:
     """Per document of each slice: its words, and the intervals of words to remove."""
 
     def one(table: pa.Table) -> pa.Table:
-        hits = []
+        found = []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
             if kind == 0:
                 ids, counts, local, digests = _unpack(blob)
-                hits.append(local)
             else:
-                hits.append(_unpack(blob)[0])
-        at = np.unique(np.concatenate(hits))
+                found.append(_unpack(blob))
         begin = np.cumsum(counts) - counts
+        at = np.unique(np.concatenate([local, *(begin[row] + start for row, start in found)]))
         doc = np.searchsorted(begin + counts, at, "right")
         head = np.ones(len(at), bool)
         head[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)

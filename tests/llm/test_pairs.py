@@ -192,6 +192,14 @@ def test_index_goes_on_from_its_manifest(spark, documents, corpus, tmp_path, mon
     assert not (tmp_path / "index").exists()
 
 
+def test_blobs_follow_their_windows(documents, corpus):
+    """With hundreds of ranges a window still costs tens of bytes: no blob carries its whole slice's documents."""
+    windows = sum(max(0, len((r[1] or "").split()) - 19) for r in corpus)
+    for ranges, most in ((1, 16), (300, 40)):
+        sent = substring._runs(documents, ranges, 20).where("kind = 1").agg(F.sum(F.octet_length("blob")), F.count("*")).first()
+        assert sent[0] < most * windows and sent[1] >= ranges
+
+
 def test_substring_repeats(spark):
     text = " ".join(f"t{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text + " z"), (2, f"{text} {text}")]
