@@ -194,14 +194,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
-def release() -> None:
-    """Gives memory back at a task's end: workers are used again by later stages, beside others."""
-    gc.collect()
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release() -> None:
+    """Gives memory back at a task's end: workers are used again by later stages, beside others."""
+    gc.collect()
+    trim()
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about most_bytes of text each; a text is never divided."""
     if not batch.num_rows:

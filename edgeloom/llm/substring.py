@@ -35,15 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.arrays import SPACED, Batch, release, runs, slices
+from edgeloom.llm.arrays import SPACED, Batch, release, runs, slices, trim
 from edgeloom.llm.frames import cut, map_texts
 from edgeloom.plans.lineage import delete, shared_folder
 
 WINDOW = 20
 KEY_BITS, CHECK_BITS = 48, 40
 #: Text bytes for each key range: what one merge task holds at a time; and windows for which a range of an index is split.
-RANGE_BYTES = 6_000_000
+RANGE_BYTES = 5_000_000
 RANGE_WINDOWS = 2_000_000
+#: Text bytes of a slice.
+SLICE_BYTES = 4_000_000
 #: Buckets of a run's table at the most; a bucket holds whole ranges.
 BUCKETS = 20_000
 #: Batches in which deduplicate() gives a table to its index.
@@ -148,7 +150,7 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
 
         name = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 found = Batch.of_arrow(batch.column("text"))
                 ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy().astype(np.int64)
                 keys, checks, at, doc, counts = fingerprints(found, window)
@@ -178,6 +180,8 @@ def _runs(documents: DataFrame, ranges: int, window: int) -> DataFrame:
                 for k in range(0, len(rows), 64):
                     part = list(zip(*rows[k : k + 64]))
                     yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary())], ["r", "slice", "kind", "blob"])
+                del found, keys, checks, at, doc, row, start, order, again, later, send, rows
+                trim()
         release()
 
     return documents.select("doc_id", "text").mapInArrow(run, "r long, slice long, kind int, blob binary")
@@ -254,6 +258,7 @@ def _merged(runs: DataFrame, history: DataFrame | None) -> DataFrame:
             else:
                 new.append((name, blob))
         found, run = _merge(new, old)
+        trim()
         r = table.column("r")[0].as_py() if table.num_rows else 0
         out += [(r, name, 1, _pack((ref >> 32).astype(np.uint32), (ref & 0xFFFFFFFF).astype(np.uint32))) for name, ref in found.items()]
         return _table(out + ([(r, 0, 2, run)] if run else []))
